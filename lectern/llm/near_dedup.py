@@ -4,10 +4,11 @@
    hashes give the signature, cut into 24 bands of 5. Documents with equal sets are one
    class, represented by their least id.
 2. Representatives that share a band are candidates. Pairs are never spelled out: in
-   each band a few pivots are compared with the members outside their component. Round r
-   has 4**r pivots a band, and rounds go on until a band has one component or every
-   member has been a pivot. So no candidate link is lost, and groups of near copies
-   settle in the first round.
+   each band the least id is compared with the rest. Where a band then holds more than one
+   component, documents that can't have a link for the shingles they alone have are put
+   aside (an exact bound), and a few pivots (4, 16, 64...) are compared with the members
+   outside their component, until a band has one component or every member has been a
+   pivot. So no candidate link is lost, and groups of near copies settle at once.
 3. A pair is first judged by its signatures (far below the limit: dropped), then
    confirmed on the full sets.
 4. Components come from alternating large-star and small-star steps.
@@ -31,8 +32,8 @@ from lectern.llm.common import discard, map_batches, materialise
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
 HASHES = BANDS * ROWS
-#: Share of 100 that the intersection must have of the union; equal signature places below which a pair can't have it (5 sigma).
-SIMILARITY, LEAST_EQUAL = 85, 82
+#: Share of 100 that the intersection must have of the union; equal signature places below which a pair hardly has it (4 sigma).
+SIMILARITY, LEAST_EQUAL = 85, 86
 #: Sides below this many ids (8 bytes each) may be broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -194,74 +195,93 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct())
 
 
-def _sides(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-
-
 def restrict(df: DataFrame, ids: DataFrame, how: str = "left_semi", count: int | None = None) -> DataFrame:
     """df joined with ids(doc_id), which is broadcast if its checked size allows."""
     count = ids.count() if count is None else count
     return df.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", how)
 
 
-def _candidates(members: DataFrame, labels: DataFrame | None, pivots: int, done: int) -> DataFrame:
-    """Pairs (a, b) of the pivots of each band with members of other components; the first ``done`` pivots have been used."""
-    if labels is None:
-        least = members.groupBy("key").agg(F.min("doc_id").alias("a"))
-        return members.join(least, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    known = members.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_ = known.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
-    known = known.join(open_, "key", "left_semi")
-    ranked = members.join(open_, "key", "left_semi").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")))
-    chosen = ranked.filter((F.col("i") > done) & (F.col("i") <= pivots)).select("key", F.col("doc_id").alias("a"))
-    chosen = chosen.join(labels.select(F.col("doc_id").alias("a"), F.col("component").alias("ca")), "a", "left").select("key", "a", F.coalesce("ca", "a").alias("ca"))
-    pairs = known.join(chosen, "key").filter("component <> ca").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b"))
-    return pairs.distinct()
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the least id of each band with its other members."""
+    least = members.groupBy("key").agg(F.min("doc_id").alias("a"))
+    return members.join(least, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members(key, doc_id, ...) with their component, of the bands that hold more than one."""
+    known = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    spread = known.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
+    return known.join(spread, "key", "left_semi")
+
+
+def _shingle_rows(batch) -> dict:
+    found = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
+    ids = np.asarray(batch.column(0))
+    return {"doc_id": np.repeat(ids, [len(x) for x in found]), "shingle": np.concatenate(found)}
+
+
+def _linkable(open_: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """key, doc_id, n, common, i of open_ without the documents that can't have a link in the band.
+
+    A shingle that one document alone has is in no intersection. With n shingles, u of
+    them its own, a document has at most n - u in common with a partner, and a partner
+    at least max(n - u, the band's least size) shingles; that bounds the similarity.
+    """
+    ids = materialise(open_.select("doc_id").distinct(), "ids")
+    rows = map_batches(restrict(docs, ids).dropDuplicates(["doc_id"]), _shingle_rows, "doc_id long, shingle long")
+    own = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).filter("doc_id = last")
+    own = own.groupBy("doc_id").agg(F.count("*").alias("u"))
+    sized = open_.join(sizes, "doc_id").join(own, "doc_id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    least = sized.groupBy("key").agg(F.min("n").alias("least"))
+    common = F.col("n") - F.col("u")
+    sized = sized.join(least, "key").filter(100 * common >= SIMILARITY * (F.greatest("least", common) + F.col("u")))
+    # small components have the larger labels as a rule; as pivots they leave one component behind
+    order = Window.partitionBy("key").orderBy(F.desc("component"), "doc_id")
+    return sized.select("key", "doc_id", "n", common.alias("common"), F.row_number().over(order).alias("i"))
+
+
+def _pivot_pairs(open_: DataFrame, pivots: int) -> DataFrame:
+    """Pairs (a, b) of each band's members up to number i = pivots with those after them in other components."""
+    chosen = open_.filter(F.col("i") <= pivots).select("key", *[F.col(c).alias(f"p_{c}") for c in ("doc_id", "component", "n", "common", "i")])
+    most = F.least("common", "p_common")
+    fine = (F.col("i") > F.col("p_i")) & (F.col("component") != F.col("p_component")) & (100 * most >= SIMILARITY * (F.col("n") + F.col("p_n") - most))
+    pairs = open_.join(chosen, "key").filter(fine)
+    return pairs.select(F.least("p_doc_id", "doc_id").alias("a"), F.greatest("p_doc_id", "doc_id").alias("b")).distinct()
+
+
+def _confirmed(pairs: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs(a, b) that are linked: judged by signatures, then on full sets."""
+    near = materialise(map_batches(_with(pairs, first, "sig"), _alike, "a long, b long"), "near")
+    ids = materialise(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    sets = map_batches(restrict(docs, ids).dropDuplicates(["doc_id"]), _sets, "doc_id long, found binary")
+    return materialise(map_batches(_with(near, materialise(sets, "sets"), "found"), _confirm, "a long, b long"), "links")
 
 
 def link_components(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, component for representatives with links; found: sketch(docs), written."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes = found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("doc_id"))
-    first = materialise(found.select("doc_id", "sig", "bands").join(classes.select("doc_id"), "doc_id", "left_semi"), "first")
+    first = materialise(found.select("doc_id", "n", "sig", "bands").join(classes.select("doc_id"), "doc_id", "left_semi"), "first")
     keys = first.select("doc_id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("size")).filter("a < b").select("key", "size")
-    members = materialise(keys.join(shared, "key").select("key", "doc_id", "size").distinct(), "members")
-    largest = members.agg(F.max("size")).first()[0] or 0
-    members = members.select("key", "doc_id")
-    labels, links, pivots, done, tested = None, None, 1, 0, None
-    while done < largest:
-        pairs = _candidates(members, labels, pivots, done)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            if labels is None or _settled(members, labels):
-                break
-        else:
-            near = materialise(map_batches(_with(pairs, first, "sig"), _alike, "a long, b long"), "near")
-            ids = materialise(_sides(near), "ids")
-            count = ids.count()
-            if count:
-                text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                sets = materialise(map_batches(restrict(text, ids, count=count).dropDuplicates(["doc_id"]), _sets, "doc_id long, found binary"), "sets")
-                sure = materialise(map_batches(_with(near, sets, "found"), _confirm, "a long, b long"), "links")
-                discard(sets)
-                links = sure if links is None else materialise(links.unionByName(sure), "links")
-                labels = components(links)
-        tested = pairs if tested is None else materialise(tested.unionByName(pairs), "tested")
-        labels = labels if labels is not None else members.select("doc_id", F.col("doc_id").alias("component")).limit(0)
-        if _settled(members, labels):
-            break
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key")
+    members = materialise(keys.join(shared, "key").select("key", "doc_id").distinct(), "members")
+    links = _confirmed(materialise(_stars(members), "pairs"), first, docs)
+    labels = components(links)
+    open_ = materialise(_open(members, labels), "open")
+    if open_.isEmpty():
+        return labels
+    sizes = first.select("doc_id", "n").dropDuplicates(["doc_id"])
+    members = materialise(_linkable(open_, docs, sizes), "linkable")
+    done, pivots = 0, 4
+    while True:
+        open_ = materialise(_open(members.filter(F.col("i") > done), labels), "open")
+        if open_.isEmpty():
+            return labels
+        more = _confirmed(materialise(_pivot_pairs(open_, pivots), "pairs"), first, docs)
+        if not more.isEmpty():
+            links = materialise(links.unionByName(more), "links")
+            labels = components(links)
         done, pivots = pivots, 4 * pivots
-    if labels is None:
-        return first.select("doc_id", F.col("doc_id").alias("component")).limit(0)
-    return labels
-
-
-def _settled(members: DataFrame, labels: DataFrame) -> bool:
-    """Whether every band has one component."""
-    known = members.join(labels, "doc_id", "left").select("key", F.coalesce("component", "doc_id").alias("component"))
-    return known.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").isEmpty()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
