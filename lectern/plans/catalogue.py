@@ -1,19 +1,475 @@
-"""All queries of the library with their SQL counterparts."""
+"""All queries of the library with their SQL counterparts.
+
+The driver's tables hold no notation, citations, notes or timings, so most queries derive
+their input from them, alike on both sides.
+"""
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lectern.functions import rewrite
+from lectern.operators import layout, markup, ordered, timing
+from lectern.sources import files
+from lectern.streaming import live
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- ordered windows ----
+
+LINES_SQL = "SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
+SQL_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"""
+WITH l AS (SELECT *, {SQL_TRIM.format('line')} AS b FROM ({LINES_SQL})),
+p AS (SELECT *, lag(b) OVER (PARTITION BY doc_id ORDER BY pos) AS q FROM l)
+SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest, count(*) AS kept FROM p WHERE b = '' OR q IS NULL OR b <> q GROUP BY doc_id
+""")
+def line_dedupe(spark, sf_dir):
+    lines = ordered.drop_repeated_lines(ordered.explode_lines(table(spark, sf_dir, "documents")))
+    kept = lines.groupBy("doc_id").agg(F.count("*").alias("kept"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("t"))
+    return kept.select("doc_id", F.md5("t").alias("digest"), "kept")
+
+
+KEY_SQL = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(rf"""
+WITH s AS (
+  SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS sentence FROM (
+    SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \t\n\v\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents)
+), k AS (SELECT *, {KEY_SQL.format('sentence')} AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS i, CASE WHEN k = '' THEN 0 ELSE len(string_split(k, ' ')) END AS w FROM k),
+f AS (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY pos) AS q FROM r WHERE n < 3 OR k = '' OR w < 4 OR i = 1),
+kept AS (SELECT doc_id, count(*) AS kept, sum(length(sentence))::BIGINT AS chars FROM f WHERE n < 3 OR k = '' OR q IS NULL OR k <> q GROUP BY doc_id)
+SELECT doc_id, n AS total, kept, chars FROM kept JOIN (SELECT DISTINCT doc_id, n FROM k) USING (doc_id)
+""")
+def sentence_dedupe(spark, sf_dir):
+    every = ordered.explode_sentences(table(spark, sf_dir, "documents"))
+    kept = ordered.drop_repeated_sentences(every).groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum(F.length("sentence")).alias("chars"))
+    return every.groupBy("doc_id").agg(F.count("*").alias("total")).join(kept, "doc_id").select("doc_id", "total", "kept", "chars")
+
+
+def conversation_segments(spark, sf_dir) -> DataFrame:
+    """Conversations as segments: every fourth turn a heading, some of them sections with a meaning."""
+    c = table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"])
+    title = F.when(F.col("conv_id") % 3 == 0, "References").when(F.col("conv_id") % 3 == 1, "Abstract").otherwise(F.concat(F.lit("Part "), F.col("turn").cast("string")))
+    heading = F.col("turn") % 4 == 0
+    text = F.when(heading & (F.col("turn") > 0), title).otherwise(F.coalesce("text", F.lit("")))
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("index"), text.alias("text"), text.alias("source_text"), F.when(heading, "heading").otherwise("paragraph").alias("segment_type"))
+
+
+SEGMENTS_SQL = """c AS (SELECT conv_id AS doc_id, turn AS index, turn % 4 = 0 AS heading,
+  CASE WHEN turn % 4 = 0 AND turn > 0 THEN CASE conv_id % 3 WHEN 0 THEN 'References' WHEN 1 THEN 'Abstract' ELSE 'Part ' || turn END ELSE coalesce(text, '') END AS text
+  FROM (SELECT DISTINCT ON (conv_id, turn) * FROM conversations))"""
+
+
+@query(f"""
+WITH {SEGMENTS_SQL}, k AS (SELECT *, {KEY_SQL.format('text')} AS k FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY index) AS i, CASE WHEN k = '' THEN 0 ELSE len(string_split(k, ' ')) END AS w FROM k),
+f AS (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY index) AS q FROM r WHERE i <= CASE WHEN w >= 10 THEN 1 WHEN w >= 4 THEN 2 ELSE 2147483647 END)
+SELECT doc_id, index::INTEGER AS index, text FROM f WHERE q IS NULL OR k <> q
+""")
+def segment_dedupe(spark, sf_dir):
+    return ordered.drop_repeated_segments(conversation_segments(spark, sf_dir)).select("doc_id", "index", "text")
+
+
+@query(f"""
+WITH {SEGMENTS_SQL}, t AS (SELECT *, min(CASE WHEN heading THEN index END) OVER (PARTITION BY doc_id) AS t FROM c),
+e AS (SELECT *, min(CASE WHEN heading AND index > t AND regexp_matches(lower(text), 'abstract|introduction') THEN index END) OVER (PARTITION BY doc_id) AS e FROM t)
+SELECT doc_id, index::INTEGER AS index, text FROM e
+WHERE NOT coalesce(index > t AND index < e AND length(text) < 300 AND regexp_matches(text, '(?i),|[0-9]|@|university|institute|department|lab'), false)
+""")
+def author_lines(spark, sf_dir):
+    return ordered.drop_author_lines(conversation_segments(spark, sf_dir)).select("doc_id", "index", "text")
+
+
+@query(f"""
+WITH {SEGMENTS_SQL}, s AS (
+  SELECT *, last_value(CASE WHEN heading THEN regexp_matches(text, '(?i)^\\s*(?:references|bibliography)\\b') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY index ROWS UNBOUNDED PRECEDING) AS s FROM c)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY index) - 1)::INTEGER AS index, text FROM s WHERE NOT coalesce(s, false)
+""".replace("\\\\", "\\"))
+def bibliography(spark, sf_dir):
+    return ordered.reindex(ordered.drop_bibliography(conversation_segments(spark, sf_dir))).select("doc_id", "index", "text")
+
+
+@query(f"WITH {SEGMENTS_SQL} SELECT doc_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY index)) AS digest FROM c GROUP BY doc_id")
+def plain_text(spark, sf_dir):
+    return ordered.plain_text(conversation_segments(spark, sf_dir)).select("doc_id", F.md5("text").alias("digest"))
+
+
+DERIVED_METADATA = "CASE item_id % 5 WHEN 0 THEN 'Keywords: ' || substr(text, 1, 100) WHEN 1 THEN substr(text, 1, 100) || ' Key words: one, two' WHEN 2 THEN 'This work was supported by ' || substr(text, 1, 50) ELSE substr(text, 1, 200) END"
+
+
+TAIL = ordered.METADATA_TAIL[4:]
+
+
+@query(rf"""
+WITH s AS (SELECT item_id AS doc_id, {DERIVED_METADATA} AS text FROM benchmark),
+k AS (SELECT * FROM s WHERE NOT (length(text) < 600 AND regexp_matches(text, '{ordered.METADATA}'))),
+c AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?is)^.+?{TAIL}') THEN regexp_replace(regexp_extract(text, '(?is)^(.+?){TAIL}', 1), '\s+$', '') ELSE text END AS text FROM k)
+SELECT * FROM c WHERE text <> ''
+""")
+def metadata(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").selectExpr("item_id AS doc_id", f"{DERIVED_METADATA} AS text")
+    s = b.select("doc_id", F.lit(0).alias("index"), "text", F.col("text").alias("source_text"), F.lit("paragraph").alias("segment_type"))
+    return ordered.drop_metadata(s).select("doc_id", "text")
+
+
+# ---- rewriting ----
+
+PROSE_TEXT = "substr(text, 1, 300) || CASE item_id % 6 WHEN 0 THEN ' see Fig. 3 vs. Eq. 2, e.g. [1, 2] i.i.d. data' WHEN 1 THEN ' as shown (Smith et al., 2020) w.r.t. x [Bau69].' WHEN 2 THEN ' at https://example.com/a?b=c and () or [] (1, 2)' WHEN 3 THEN ' the (k+1)-th seq. of tab. 4, i.e. w.l.o.g. word.12' WHEN 4 THEN ' ## 1.2 Title * bold * iid [Doe, 1999]' ELSE ' plain' END"
+
+
+def _sql_text(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def prose_sql(column: str) -> str:
+    out = f"replace({column}, '*', '')"
+    for _, pattern, replacement in rewrite.PROSE:
+        out = f"regexp_replace({out}, '{_sql_text(pattern)}', '{_sql_text(replacement.replace('$1', chr(92) + '1'))}', 'g')"
+    return out
+
+
+@query(f"SELECT item_id, {prose_sql('t')} AS spoken FROM (SELECT item_id, {PROSE_TEXT} AS t FROM benchmark)")
+def prose_rules(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").selectExpr("item_id", f"{PROSE_TEXT} AS t").select("item_id", rewrite.prose(F.col("t")).alias("spoken"))
+
+
+MATH_TEXT = r"""CASE p_partkey % 9 WHEN 0 THEN '\frac{' || p_size || '}{\sqrt{x_' || p_partkey || '}}' WHEN 1 THEN 'x^2 + y^{' || p_size || '} \leq \alpha' WHEN 2 THEN '\sum_{i=1}^n \log_' || p_size % 10 || ' \hat{y}'
+WHEN 3 THEN '\forall x \in \mathbb{R}, \|x\| \geq ' || p_size WHEN 4 THEN '\left( a \rightarrow b \right) \cdots ' || p_partkey WHEN 5 THEN '\nabla f \cdot \text{per-unit} ' || p_size WHEN 6 THEN 'A \cup B \subseteq C_{' || p_size || '}'
+WHEN 7 THEN '\sin \theta \times \sqrt[3]{' || p_size || '} \pmod{' || p_partkey || '}' ELSE 'G \cong H \rtimes K, x \not\in ' || p_size END"""
+
+
+def math_sql(column: str) -> str:
+    out = column
+    for _ in range(3):  # the derived expressions nest twice
+        for pattern, replacement in rewrite._NESTED:
+            out = f"regexp_replace({out}, '{_sql_text(pattern.pattern)}', '{_sql_text(replacement)}', 'g')"
+    for pattern, replacement in rewrite.math_rules():
+        pattern = pattern.replace("(?!arrow)", "")  # arrows are spoken before this rule
+        out = f"regexp_replace({out}, '{_sql_text(pattern)}', ' {_sql_text(replacement)} ', 'g')"
+    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT p_partkey, {math_sql('t')} AS spoken FROM (SELECT p_partkey, {MATH_TEXT} AS t FROM part)")
+def math_rules(spark, sf_dir):
+    text = MATH_TEXT.replace("\\", "\\\\")
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", f"{text} AS t").select("p_partkey", rewrite.math_column(F.col("t")).alias("spoken"))
+
+
+# ---- timing ----
+
+TIMED = "SELECT user_id AS doc_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) AS pos, event_type AS text FROM events"
+EVENTS_SQL = f"e AS (SELECT *, pos * 3500123 AS offset_ticks, 1234567 AS duration_ticks FROM ({TIMED}))"
+PARTS_SQL = "g AS (SELECT DISTINCT user_id AS doc_id, unnest([0, 1, 2, 3]) AS index FROM events), s AS (SELECT doc_id, index, ((doc_id + index) % 4)::BIGINT AS words FROM g)"
+
+
+def word_events(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    pos = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")
+    return e.select(F.col("user_id").alias("doc_id"), pos.alias("pos"), F.col("event_type").alias("text")).withColumn("offset_ticks", F.col("pos") * 3500123).withColumn("duration_ticks", F.lit(1234567))
+
+
+def word_counts(spark, sf_dir) -> DataFrame:
+    g = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id")).distinct().withColumn("index", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return g.withColumn("words", ((F.col("doc_id") + F.col("index")) % 4).cast("long"))
+
+
+SYNC_SQL = f"""{EVENTS_SQL}, {PARTS_SQL}, b AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM s),
+w AS (SELECT e.doc_id, pos, offset_ticks // 10000 AS start_ms, (offset_ticks + duration_ticks) // 10000 AS end_ms, text, coalesce(index, 0)::INTEGER AS segment_index
+  FROM e LEFT JOIN b ON e.doc_id = b.doc_id AND pos >= a AND pos < a + words)"""
+
+
+def synced(spark, sf_dir) -> DataFrame:
+    return timing.sync_words(word_events(spark, sf_dir), word_counts(spark, sf_dir))
+
+
+@query(f"WITH {SYNC_SQL} SELECT * FROM w")
+def sync_words(spark, sf_dir):
+    return synced(spark, sf_dir)
+
+
+@query(f"WITH {SYNC_SQL} SELECT doc_id, segment_index, arg_min(start_ms, pos) AS start_ms, arg_max(end_ms, pos) AS end_ms FROM w GROUP BY doc_id, segment_index")
+def segment_spans(spark, sf_dir):
+    return timing.segment_spans(synced(spark, sf_dir))
+
+
+@query(f"WITH {EVENTS_SQL}, k AS (SELECT doc_id, pos AS tick, pos * 417 - 5 AS time_ms FROM e) SELECT k.doc_id, tick, time_ms, coalesce(e.pos, -1) AS pos FROM k ASOF LEFT JOIN (SELECT doc_id, pos, offset_ticks // 10000 AS t FROM e) e ON k.doc_id = e.doc_id AND k.time_ms >= e.t")
+def active_word(spark, sf_dir):
+    e = word_events(spark, sf_dir)
+    ticks = e.select("doc_id", F.col("pos").alias("tick"), (F.col("pos") * 417 - 5).alias("time_ms"))
+    return timing.active_at(ticks, e.select("doc_id", timing.to_ms(F.col("offset_ticks")).alias("start_ms"), "pos"), "pos")
+
+
+VTT_SQL = "printf('%02d:%02d:%02d.%03d', {0} // 36000000000, {0} // 600000000 % 60, {0} // 10000000 % 60, {0} // 10000 % 1000)"
+
+
+@query(f"WITH {EVENTS_SQL} SELECT doc_id, md5('WEBVTT' || chr(10) || chr(10) || string_agg((pos + 1) || chr(10) || {VTT_SQL.format('offset_ticks')} || ' --> ' || {VTT_SQL.format('(offset_ticks + duration_ticks)')} || chr(10) || text || chr(10), chr(10) ORDER BY pos)) AS digest FROM e GROUP BY doc_id")
+def captions(spark, sf_dir):
+    return files.web_vtt(word_events(spark, sf_dir)).select("doc_id", F.md5("vtt").alias("digest"))
+
+
+@query()
+def sync_map(spark, sf_dir):
+    w = synced(spark, sf_dir)
+    return files.sync_map(w, timing.segment_spans(w))
+
+
+@query(f"WITH {SEGMENTS_SQL}, w AS (SELECT doc_id, index, regexp_extract_all(text, '\\S+') AS l FROM c) SELECT doc_id, string_agg(c.text, '. ' ORDER BY index) AS text, sum(len(l))::BIGINT AS words FROM c JOIN w USING (doc_id, index) GROUP BY doc_id".replace("\\\\", "\\"))
+def full_text(spark, sf_dir):
+    return timing.full_text(conversation_segments(spark, sf_dir))
+
+
+@query(f"WITH {SEGMENTS_SQL}, w AS (SELECT doc_id, index, unnest(range(len(l))) AS i, unnest(l) AS word FROM (SELECT doc_id, index, regexp_extract_all(text, '\\S+') AS l FROM c)) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY index, i) - 1)::INTEGER AS pos, index::INTEGER AS segment_index, word FROM w".replace("\\\\", "\\"))
+def spoken_words(spark, sf_dir):
+    return timing.spoken_words(conversation_segments(spark, sf_dir))
+
+
+BOXES_SQL = "b AS (SELECT 0 AS doc_id, p_partkey AS pos, p_partkey % 50 AS page, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y, p_size AS w, 10 AS h FROM part), q AS (SELECT s_suppkey AS point_id, 0 AS doc_id, s_suppkey % 50 AS page, s_suppkey * 53 % 1000 AS px, s_suppkey * 29 % 1000 AS py FROM supplier)"
+
+
+def _nearest(spark, sf_dir, metric):
+    boxes = table(spark, sf_dir, "part").selectExpr("0 AS doc_id", "p_partkey AS pos", "p_partkey % 50 AS page", "p_partkey * 37 % 1000 AS x", "p_partkey * 91 % 1000 AS y", "p_size AS w", "10 AS h")
+    points = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS point_id", "0 AS doc_id", "s_suppkey % 50 AS page", "s_suppkey * 53 % 1000 AS px", "s_suppkey * 29 % 1000 AS py")
+    return timing.nearest_box(points, timing.real_boxes(boxes), metric).select("point_id", "box_pos")
+
+
+@query(f"WITH {BOXES_SQL} SELECT point_id, arg_min(pos, [(x + w / 2.0 - px) ** 2 + (y + h / 2.0 - py) ** 2, pos]) AS box_pos FROM q LEFT JOIN b USING (doc_id, page) GROUP BY point_id")
+def nearest_word(spark, sf_dir):
+    return _nearest(spark, sf_dir, "web")
+
+
+@query(f"WITH {BOXES_SQL} SELECT point_id, arg_min(pos, [4 * abs(y + h / 2.0 - py) + abs(x + w / 2.0 - px), pos]) AS box_pos FROM q LEFT JOIN b USING (doc_id, page) GROUP BY point_id")
+def nearest_word_desktop(spark, sf_dir):
+    return _nearest(spark, sf_dir, "desktop")
+
+
+@query(f"WITH {SEGMENTS_SQL} SELECT doc_id, index::INTEGER AS index, greatest(index - 1, 0)::INTEGER AS previous, least(index + 1, count(*) OVER (PARTITION BY doc_id) - 1) AS next FROM c")
+def neighbours(spark, sf_dir):
+    s = conversation_segments(spark, sf_dir)
+    return timing.neighbours(s.select("doc_id", "index"), s.groupBy("doc_id").count())
+
+
+@query(f"WITH {EVENTS_SQL}, w AS (SELECT doc_id, pos, pos * 7 AS a, pos * 7 + 5 AS b FROM e) SELECT e.doc_id, e.pos AS tick, w.pos FROM e LEFT JOIN w ON e.doc_id = w.doc_id AND e.pos * 3 >= a AND e.pos * 3 < b")
+def word_at_char(spark, sf_dir):
+    e = word_events(spark, sf_dir)
+    words = e.select("doc_id", "pos", (F.col("pos") * 7).alias("start"), (F.col("pos") * 7 + 5).alias("end"))
+    return timing.word_at_char(e.select("doc_id", F.col("pos").alias("tick"), (F.col("pos") * 3).alias("char_at")), words).select("doc_id", "tick", "pos")
+
+
+@query()
+def speech_chunks(spark, sf_dir):
+    return timing.explode_chunks(conversation_segments(spark, sf_dir))
+
+
+@query()
+def word_alignment(spark, sf_dir):
+    """Conversation words against the same words with some printed otherwise."""
+    words = timing.spoken_words(conversation_segments(spark, sf_dir))
+    boxes = words.filter("pos % 7 <> 3").select("doc_id", "pos", F.when(F.col("pos") % 5 == 0, F.upper("word")).otherwise(F.col("word")).alias("str"))
+    return timing.align_words(words.select("doc_id", "pos", F.col("word").alias("text")), boxes)
+
+
+# ---- markup, lint, layout ----
+
+
+@query()
+def html_segments(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    return markup.to_segments(markup.explode_blocks(pages))
+
+
+@query()
+def markup_segments(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Title\n\n"), F.col("text"), F.lit("\n\n## References\n\nx")).alias("mmd"))
+    return markup.process_markup(docs)
+
+
+@query()
+def footnotes(spark, sf_dir):
+    s = conversation_segments(spark, sf_dir)
+    note = F.col("index") % 4 == 3
+    text = F.when(note, F.concat(F.lit("Footnote 1: "), F.substring("text", 1, 60))).when(F.col("index") % 4 == 1, F.concat(F.lit("See this.1 "), F.col("text"))).otherwise(F.col("text"))
+    return markup.relocate_footnotes(s.withColumn("text", text))
+
+
+LINT_TEXT = r"""'\alpha + \foo' || p_size % 7 || ' \frac{1}{2} ' || CASE WHEN p_partkey % 3 = 0 THEN '\bar \baz \qux \alpha' ELSE 'plain' END"""
+VOCABULARY = ["alpha", "frac", "bar"]
+
+
+def lint_pages(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    text = LINT_TEXT.replace("\\", "\\\\")
+    pages = table(spark, sf_dir, "part").selectExpr("p_partkey % 20 AS doc_id", "p_partkey AS page_no", f"{text} AS mmd")
+    return pages, spark.createDataFrame([(x,) for x in VOCABULARY], "name string")
+
+
+LINT_SQL = rf"""p AS (SELECT p_partkey % 20 AS doc_id, p_partkey AS page_no, {LINT_TEXT} AS mmd FROM part), h AS (SELECT doc_id, page_no, unnest(regexp_extract_all(mmd, '\\([A-Za-z]{{2,}})', 1)) AS command FROM p),
+c AS (SELECT doc_id, page_no, count(*) AS total, count(*) FILTER (command NOT IN ('alpha', 'frac', 'bar')) AS unknown FROM h GROUP BY 1, 2)"""
+
+
+@query(f"WITH {LINT_SQL} SELECT doc_id, page_no, total, unknown, unknown / total AS bad_ratio, unknown >= 3 OR (total >= 10 AND unknown / total > 0.05) AS bad FROM c")
+def lint(spark, sf_dir):
+    return markup.lint(*lint_pages(spark, sf_dir))
+
+
+@query(f"WITH {LINT_SQL} SELECT doc_id, sum(unknown)::BIGINT AS unknown, sum(total)::BIGINT AS total, count(*) FILTER (unknown >= 3 OR (total >= 10 AND unknown / total > 0.05)) AS n_bad FROM c GROUP BY doc_id")
+def lint_documents(spark, sf_dir):
+    return markup.lint_documents(markup.lint(*lint_pages(spark, sf_dir))).select("doc_id", "unknown", "total", F.size("bad_pages").cast("long").alias("n_bad"))
+
+
+@query(rf"""WITH p AS (SELECT p_partkey % 20 AS doc_id, p_partkey AS page_no, {LINT_TEXT} AS mmd FROM part),
+h AS (SELECT doc_id, page_no, mmd, unnest(regexp_extract_all(mmd, '\\([A-Za-z]{{2,}})', 1)) AS command FROM p)
+SELECT page_no, command, strpos(mmd, '\' || command) - 1 AS at FROM h WHERE command NOT IN ('alpha', 'frac', 'bar')""")
+def unknown_commands(spark, sf_dir):
+    return markup.unknown_commands(*lint_pages(spark, sf_dir)).select("page_no", "command", F.col("at").cast("long").alias("at"))
+
+
+@query("SELECT DISTINCT trim(name) AS name FROM (SELECT p_brand AS name FROM part UNION ALL SELECT ' ' || p_type || ' ' FROM part) WHERE trim(name) <> ''")
+def vocabulary(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return markup.vocabulary_of(part.select(F.col("p_brand").alias("name")), part.select(F.concat(F.lit(" "), "p_type", F.lit(" ")).alias("name")))
+
+
+def glyphs(spark, sf_dir) -> DataFrame:
+    """Words of the documents laid out as lines of eight on pages of forty lines."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("n", "str"))
+    n, size = F.col("n"), F.lit(10.0)
+    line, word = F.floor(n / 8) % 40, n % 8
+    place = F.array(size, F.lit(0.0), F.lit(0.0), size, 50 + word * 60.0, 700 - line * 12.0)
+    return words.select("doc_id", (F.floor(n / 320) + 1).cast("int").alias("page_no"), n.alias("item_no"), "str", place.alias("transform"), (F.length("str") * 5.0).alias("width"), F.lit("f1").alias("font"))
+
+
+@query()
+def page_layout(spark, sf_dir):
+    return layout.extract_pages(glyphs(spark, sf_dir))
+
+
+@query("""SELECT p_partkey, greatest(0.0, 1 - least(0.7, 4.0 * (p_size % 5) / greatest(p_size * 3, 1)) - least(0.4, 30.0 * (p_size % 2) / greatest(p_size * 3, 1)) - least(0.3, 4.0 * (p_size % 3) / greatest(p_size * 3 + p_size % 3, 1)))::DOUBLE AS confidence FROM part""")
+def page_confidence(spark, sf_dir):
+    s = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", layout.confidence(s % 5, s % 2, s % 3, s * 3).alias("confidence"))
+
+
+@query("SELECT DISTINCT event_type AS font, CASE WHEN event_type LIKE 'c%' THEN upper(event_type) ELSE event_type END AS ps_name FROM events")
+def font_names(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("font"))
+    return files.resolve_fonts(e, e.filter("font LIKE 'c%'").distinct().withColumn("ps_name", F.upper("font")))
+
+
+# ---- feedback ----
+
+FEEDBACK_JSON = """'{"category":"' || CASE event_id % 5 WHEN 0 THEN 'bug' WHEN 1 THEN 'thumbs_up' WHEN 2 THEN 'nonsense' WHEN 3 THEN 'other' ELSE 'quality' END || '","comment":"' || CASE WHEN event_id % 3 = 0 THEN ' ' ELSE event_type END || '","page":"' || CASE WHEN event_id % 4 = 0 THEN 'x' ELSE event_id::VARCHAR END || CASE WHEN event_id % 11 = 0 THEN '"' ELSE '"}' END"""
+FEEDBACK_SPARK = FEEDBACK_JSON.replace("event_id::VARCHAR", "CAST(event_id AS STRING)")
+
+
+@query(f"""
+WITH r AS (SELECT event_id, {FEEDBACK_JSON} AS value FROM events), v AS (SELECT event_id, json_valid(value) AS fine, CASE WHEN json_valid(value) THEN value END AS j FROM r),
+p AS (SELECT event_id, fine, j->>'category' AS category, trim(coalesce(j->>'comment', '')) AS comment FROM v)
+SELECT event_id, CASE WHEN NOT fine THEN 'json' WHEN category NOT IN ('thumbs_up', 'thumbs_down', 'bug', 'quality', 'suggestion', 'other') THEN 'category' WHEN comment = '' AND category NOT IN ('thumbs_up', 'thumbs_down') THEN 'comment' END AS reason FROM p
+""")
+def feedback_reasons(spark, sf_dir):
+    raw = table(spark, sf_dir, "events").selectExpr("event_id", f"{FEEDBACK_SPARK} AS value")
+    return files.parse_feedback(raw).select("event_id", "reason")
+
+
+ACCEPTED_SQL = f"""
+WITH r AS (SELECT event_id, {FEEDBACK_JSON} AS value FROM events), p AS (SELECT event_id, value::JSON->>'category' AS category, value::JSON->>'comment' AS comment, value::JSON->>'page' AS page FROM r WHERE json_valid(value))
+SELECT category, comment, coalesce(try_cast(page AS BIGINT), 0) AS page FROM p WHERE category IN ('thumbs_up', 'thumbs_down', 'bug', 'quality', 'suggestion', 'other') AND (trim(comment) <> '' OR category IN ('thumbs_up', 'thumbs_down'))
+"""
+
+
+@query(ACCEPTED_SQL)
+def feedback_accepted(spark, sf_dir):
+    raw = table(spark, sf_dir, "events").selectExpr(f"{FEEDBACK_SPARK} AS value")
+    return files.accepted(files.parse_feedback(raw)).select("category", "comment", "page")
+
+
+@query("SELECT event_id, 'ts:' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || ':' || substr(md5(event_id::VARCHAR), 1, 6) AS key FROM events ORDER BY key LIMIT 1000")
+def feedback_export(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", files.feedback_key(F.col("ts"), F.col("event_id").cast("string")).alias("key"))
+    return files.export(e)
+
+
+@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOURS")
+def retention(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("modified"))
+    return files.recent(e, F.lit(e.agg(F.max("modified")).first()[0])).select("event_id")
+
+
+@query("SELECT code FROM (SELECT ' ' || lower(c_mktsegment) || c_custkey || ' ' AS code, c_custkey FROM customer) WHERE c_custkey % 10 = 0")
+def access_codes(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    allowed = c.filter("c_custkey % 10 = 0").select(F.sha2(F.upper(F.concat("c_mktsegment", F.col("c_custkey").cast("string"))), 256).alias("digest"))
+    return files.admitted(c.select(F.concat(F.lit(" "), F.lower("c_mktsegment"), F.col("c_custkey").cast("string"), F.lit(" ")).alias("code")), allowed)
+
+
+# ---- streams ----
+
+
+def _drained(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
+    """Runs a bounded stream to its end and returns what it wrote. The memory sink suits the small results here; a job writes files."""
+    name = f"stream_{os.urandom(6).hex()}"
+    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+
+
+@query(ACCEPTED_SQL)
+def feedback_stream(spark, sf_dir):
+    raw = _event_stream(spark, sf_dir).selectExpr(f"{FEEDBACK_SPARK} AS value")
+    return _drained(live.feedback(raw).select("category", "comment", "page"), spark, "append")
+
+
+@query("SELECT time_bucket(INTERVAL 250 MILLISECONDS, ts) AS start, user_id % 5 AS page, count(*) AS tokens FROM events GROUP BY ALL")
+def progress_stream(spark, sf_dir):
+    tokens = _event_stream(spark, sf_dir).select("ts", (F.col("user_id") % 5).alias("page"))
+    return _drained(live.progress(tokens), spark, "complete")
+
+
+@query("WITH l AS (SELECT user_id, arg_max(event_id, ts) AS loaded FROM (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY ALL) GROUP BY user_id) SELECT sum(loaded)::BIGINT AS loaded, sum(2 * loaded)::BIGINT AS total FROM l")
+def download_progress(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("user_id", "ts").agg(F.max("event_id").alias("loaded"))
+    return live.downloads(e.select("ts", F.col("user_id").alias("file"), "loaded", (2 * F.col("loaded")).alias("total")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return sentence_dedupe(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: re.sub(r"\n\s*", "\n", v.strip()) for k, v in SQL.items()}
