@@ -9,6 +9,8 @@ and roots need a loop until nothing changes.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -187,12 +189,16 @@ def prose_rules(dialect: str = "web", extra: tuple = ()) -> list[tuple[str, str,
 def prose(c: Column, dialect: str = "web", extra: tuple = ()) -> Column:
     """The prose rules in order, after deleting asterisks. Runs of rules with one trigger share one test."""
     out = F.regexp_replace(c, r"\*", "")
-    rules, i = prose_rules(dialect, extra), 0
-    while i < len(rules):
-        j, trigger, part = i, rules[i][0], out
-        while j < len(rules) and rules[j][0] == trigger:
-            part = F.regexp_replace(part, rules[j][1], rules[j][2])
-            j += 1
-        out = F.when(out.contains(trigger), part).otherwise(out) if trigger else part
-        i = j
+    for trigger, group in groupby(prose_rules(dialect, extra), key=lambda r: r[0]):
+        chain = _chain([(p, r) for _, p, r in group])
+        out = _guarded(out, trigger, chain) if trigger else chain(out)
     return out
+
+
+def _chain(rules: list[tuple[str, str]]):
+    return lambda c: reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), rules, c)
+
+
+def _guarded(c: Column, trigger: str, chain) -> Column:
+    """chain(c) where c holds the trigger. c is named three times, so it is bound first: nested groups would triple the plan each."""
+    return F.transform(F.array(c), lambda x: F.when(x.contains(trigger), chain(x)).otherwise(x))[0]

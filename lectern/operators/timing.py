@@ -199,7 +199,10 @@ def align_words(spoken: DataFrame, boxes: DataFrame) -> DataFrame:
     """doc_id, spoken_pos, box_pos of spoken(doc_id, pos, text) and boxes(doc_id, pos, str), document by document."""
 
     def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("pos"), right.sort_values("pos")
+        if left.empty:  # an empty side comes without columns
+            return pd.DataFrame({"doc_id": [], "spoken_pos": [], "box_pos": []})
+        left = left.sort_values("pos")
+        right = right.sort_values("pos") if len(right) else pd.DataFrame({"pos": [], "str": []})
         places = right["pos"].tolist()
         found = align(left["text"].tolist(), right["str"].tolist())
         return pd.DataFrame({"doc_id": key[0], "spoken_pos": left["pos"].to_numpy(), "box_pos": pd.array([None if i is None else places[i] for i in found], dtype="Int32")})
