@@ -202,10 +202,12 @@ def align_words(spoken: DataFrame, boxes: DataFrame) -> DataFrame:
         if left.empty:  # an empty side comes without columns
             return pd.DataFrame({"doc_id": [], "spoken_pos": [], "box_pos": []})
         left = left.sort_values("pos")
-        right = right.sort_values("pos") if len(right) else pd.DataFrame({"pos": [], "str": []})
-        places = right["pos"].tolist()
+        right = right.sort_values("place") if len(right) else pd.DataFrame({"place": [], "str": []})
+        places = right["place"].tolist()
         found = align(left["text"].tolist(), right["str"].tolist())
         return pd.DataFrame({"doc_id": key[0], "spoken_pos": left["pos"].to_numpy(), "box_pos": pd.array([None if i is None else places[i] for i in found], dtype="Int32")})
 
-    pair = spoken.select("doc_id", "pos", "text").groupBy("doc_id").cogroup(boxes.select("doc_id", "pos", "str").groupBy("doc_id"))
+    # both sides may come from one table; columns of the same origin would be taken for one another
+    shown = boxes.select(F.col("doc_id").alias("doc"), F.col("pos").alias("place"), F.col("str").alias("str"))
+    pair = spoken.select("doc_id", "pos", "text").groupBy("doc_id").cogroup(shown.groupBy("doc"))
     return pair.applyInPandas(one, "doc_id long, spoken_pos int, box_pos int")
