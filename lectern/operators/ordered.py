@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLANK = r"(?U)^\s+|\s+$"
-HEADING = F.lit("heading")
+HEADING = "heading"
 
 
 def trimmed(c: Column) -> Column:
