@@ -453,8 +453,9 @@ def feedback_stream(spark, sf_dir):
 
 @query("SELECT time_bucket(INTERVAL 250 MILLISECONDS, ts) AS start, user_id % 5 AS page, count(*) AS tokens FROM events GROUP BY ALL")
 def progress_stream(spark, sf_dir):
-    tokens = _event_stream(spark, sf_dir).select("ts", (F.col("user_id") % 5).alias("page"))
-    return _drained(live.progress(tokens), spark, "complete")
+    # event time must be an instant; the table's times have no zone, nor has the result
+    tokens = _event_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 5).alias("page"))
+    return _drained(live.progress(tokens), spark, "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("WITH l AS (SELECT user_id, arg_max(event_id, ts) AS loaded FROM (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY ALL) GROUP BY user_id) SELECT sum(loaded)::BIGINT AS loaded, sum(2 * loaded)::BIGINT AS total FROM l")

@@ -80,7 +80,8 @@ def parse_feedback(raw: DataFrame, dialect: str = "web") -> DataFrame:
     category, comment = F.col("record.category"), F.trim(F.coalesce("record.comment", F.lit("")))
     known = CATEGORIES_WEB if dialect == "web" else CATEGORIES_DESKTOP
     blank = (comment == "") & (~category.isin(NO_COMMENT_NEEDED) if dialect == "web" else F.lit(True))
-    broken = F.col("record").isNull() | ~F.trim("value").startswith("{")
+    # from_json turns a cut-off record into one without fields, so whether it is JSON at all is asked apart
+    broken = F.try_parse_json(F.col("value")).isNull() | F.col("record").isNull() | ~F.trim("value").startswith("{")
     reason = F.when(broken, "json").when(category.isNull() | ~category.isin(known), "category").when(blank, "comment")
     return d.withColumn("reason", reason)
 
