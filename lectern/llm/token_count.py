@@ -5,7 +5,9 @@ text character by character; a state is the part of the current word read so far
 and the transition that ends a word is annotated with the number of tokens it
 emits (output deferred to the point where it is certain). Transitions are compiled
 when first taken, from the merge table, and kept up to STATES states; beyond that
-a word is run through the merge table directly, with the same result.
+a word is run through the merge table directly, with the same result. The path of a
+whole word from the start back to the start is kept as one transition of its own
+(up to WORDS), so that a word seen before takes one step.
 
 A chunk of text is a map from the state before it to the state after it and a
 count. As every state returns to the start at white space, the map is given by
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import map_batches
 
 STATES, WORDS, CHUNK = 200_000, 400_000, 1 << 16
+#: Pre-tokens of up to so many symbols are merged in place; the rank of a pair that never merges.
+SHORT, NEVER = 64, 1 << 30
 #: White space as the tokenizer has it: less than str.split() knows.
 SPACE = "[\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]"
 SPACES = re.compile(SPACE + "+")
@@ -44,6 +48,20 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Paths(dict):
+    """Emissions of whole words, walked when first met."""
+
+    def __init__(self, walked):
+        super().__init__()
+        self.walked = walked
+
+    def __missing__(self, word: str) -> int:
+        n = self.walked(word)
+        if len(self) < WORDS:
+            self[word] = n
+        return n
+
+
 class Transducer:
     """A word-ending BPE tokenizer (lower case, white space dropped), compiled as it is used."""
 
@@ -64,15 +82,35 @@ class Transducer:
         self.root: dict = {}
         self.states = 0
         self.known: dict[str, int] = {}
+        self.paths = Paths(self.walked)
 
     def merged(self, piece: str) -> int:
-        """Tokens of one pre-token: merges by rank until none applies."""
+        """Tokens of one pre-token: merges by rank, leftmost first, until none applies."""
         parts = [self.symbols[b] for b in piece.encode("utf-8")]
         parts[-1] += self.suffix
+        parts = self.merged_short(parts) if len(parts) <= SHORT else self.merged_long(parts)
+        return sum(p in self.vocab for p in parts)  # a symbol outside the vocabulary yields nothing
+
+    def merged_short(self, parts: list[str]) -> list[str]:
+        """One merge at a time; only the ranks beside it change."""
+        rank = self.ranks.get
+        ranks = [rank(pair, NEVER) for pair in zip(parts, parts[1:])]  # noqa: B905
+        while ranks and (least := min(ranks)) < NEVER:
+            i = ranks.index(least)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), NEVER)
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), NEVER)
+        return parts
+
+    def merged_long(self, parts: list[str]) -> list[str]:
+        """All places of the pair with the least rank in one pass."""
         ranks = self.ranks
         while len(parts) > 1:
-            rank, pair = min((ranks.get(p, 1 << 30), p) for p in zip(parts, parts[1:]))  # noqa: B905
-            if rank == 1 << 30:
+            rank, pair = min((ranks.get(p, NEVER), p) for p in zip(parts, parts[1:]))  # noqa: B905
+            if rank == NEVER:
                 break
             out, i, last = [], 0, len(parts) - 1
             while i <= last:
@@ -83,12 +121,12 @@ class Transducer:
                     out.append(parts[i])
                     i += 1
             parts = out
-        return sum(p in self.vocab for p in parts)  # a symbol outside the vocabulary yields nothing
+        return parts
 
     def emitted(self, word: str) -> int:
         """Tokens that a word (no white space, normalised) emits when it ends."""
         total = 0
-        for piece in self.pieces(word):
+        for piece in (word,) if word.isalpha() else self.pieces(word):
             n = self.known.get(piece)
             if n is None:
                 n = self.merged(piece)
@@ -110,17 +148,18 @@ class Transducer:
             state[END] = n
         return n
 
+    def walked(self, word: str) -> int:
+        """The emission of a word, one transition for each character."""
+        state = self.root
+        try:
+            for c in word:
+                state = state[c]
+            return state[END]
+        except KeyError:
+            return self.compiled(word)
+
     def run(self, words: list[str]) -> int:
-        total, root, compiled = 0, self.root, self.compiled
-        for word in words:
-            state = root
-            try:
-                for c in word:
-                    state = state[c]
-                total += state[END]
-            except KeyError:
-                total += compiled(word)
-        return total
+        return sum(map(self.paths.__getitem__, words))
 
     def words(self, text: str) -> list[str]:
         return [w for w in SPACES.split(text) if w] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
