@@ -119,9 +119,11 @@ def explode_blocks(docs: DataFrame, html: str = "html", markdown: bool = False)
 
 
 def to_segments(found: DataFrame, dialect: str = "web") -> DataFrame:
-    """Blocks to segments: running heads and unspeakable blocks go, text is rewritten for speech."""
+    """Blocks to segments: running heads and unspeakable blocks go, looping sentences too (web), text is rewritten for speech."""
     raw = ordered.collapsed(F.col("raw")) if dialect == "web" else ordered.trimmed(F.col("raw"))
     d = found.filter(~F.col("running_head")).withColumn("source_text", raw).filter("source_text <> ''")
+    if dialect == "web":
+        d = d.withColumn("source_text", ordered.cropped(F.col("source_text")))
     d = d.withColumn("segment_type", F.when(F.col("tag").startswith("h"), F.lit("heading")).otherwise("paragraph"))
     d = d.withColumn("text", ordered.collapsed(prose(F.col("source_text"), dialect)))
     d = d.filter(F.col("text").rlike("[a-zA-Z0-9]") if dialect == "web" else F.col("text") != "")

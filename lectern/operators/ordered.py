@@ -6,8 +6,12 @@ order. Every filter partitions by document, so one document is the unit that a t
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANK = r"(?U)^\s+|\s+$"
 HEADING = "heading"
@@ -76,6 +80,36 @@ def drop_repeated_sentences(sentences: DataFrame, block: list[str] | None = None
     return d.filter((F.col("_n") < 3) | (F.col("_k") == "") | F.col("_p").isNull() | (F.col("_k") != F.col("_p"))).drop("_n", "_k", "_i", "_p")
 
 
+def crop_repeats(text: str) -> str:
+    """The text of a block, white space collapsed, without its repeated sentences; under three sentences it stays.
+
+    A sentence goes if its key equals the last kept one, or has four words and was seen. Empty keys stay and are passed over.
+    """
+    units = re.split(r"(?<=[.!?]) +", text)
+    if len(units) < 3:
+        return text
+    kept, seen, last = [], set(), None
+    for unit in units:
+        key = " ".join(re.sub(r"[^a-z0-9 ]", " ", unit.lower()).split())
+        if key and (key == last or (key in seen and key.count(" ") >= 3)):
+            continue
+        if key:
+            seen.add(key)
+            last = key
+        kept.append(unit)
+    return " ".join(kept)
+
+
+def cropped(c: Column) -> Column:
+    """crop_repeats as a vectorised function; nulls stay null."""
+
+    @F.pandas_udf(T.StringType())
+    def crop(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else crop_repeats(x))
+
+    return crop(c)
+
+
 def drop_repeated_segments(segments: DataFrame) -> DataFrame:
     """Ten words or more: once in a document; four to nine: twice; any: not next to its like."""
     key, words = sentence_key(F.col("text")), word_count(sentence_key(F.col("text")))

@@ -73,6 +73,16 @@ def test_blocks_and_footnotes():
     assert moved[1][0] == "Footnote 1: a note. End of footnote."
 
 
+def test_looping_sentences_of_a_block_go(spark):
+    loop = "One two three four.\nOther thing. One two  three four! ... Other thing. End."
+    docs = spark.createDataFrame([(1, f"# Title\n\n{loop}\n\nHi. Hi."), (2, "One two three four. One two three four.")], "doc_id long, mmd string")
+    web = {(r.doc_id, r["index"]): (r.text, r.source_text) for r in markup.process_markup(docs).collect()}
+    once = "One two three four. Other thing. ... End."
+    assert web == {(1, 0): ("Title", "Title"), (1, 1): (once, once), (1, 2): ("Hi. Hi.",) * 2, (2, 0): ("One two three four. One two three four.",) * 2}
+    desktop = [r.source_text for r in markup.process_markup(docs, "desktop").orderBy("doc_id", "index").collect()]
+    assert desktop[1] == loop
+
+
 def test_lint(spark):
     pages = spark.createDataFrame([(1, 1, r"\alpha \foo \foo \bar"), (1, 2, "none")], "doc_id long, page_no int, mmd string")
     names = spark.createDataFrame([("alpha",), ("bar",)], "name string")
