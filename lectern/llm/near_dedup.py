@@ -1,8 +1,8 @@
 """Near-duplicate documents: MinHash, banding, verification, star components.
 
 1. Each text becomes its set of hashed five-word shingles (64 bits); 120 universal
-   hashes give the signature, cut into 24 bands of 5. Documents with equal sets are one
-   class, represented by their least id.
+   hashes give the signature, cut into 24 bands of 5 (30 of 4 for a similarity of 0.80).
+   Documents with equal sets are one class, represented by their least id.
 2. Representatives that share a band are candidates. Pairs are never spelled out: in
    each band the least id is compared with the rest. Where a band then holds more than one
    component, documents that can't have a link for the shingles they alone have are put
@@ -13,7 +13,9 @@
    confirmed on the full sets.
 4. Components come from alternating large-star and small-star steps.
 
-At a similarity of exactly 0.85 the bands miss a pair with a probability of 1e-6.
+The similarity asked for sets the bands, the least of equal places and the exact bounds.
+At a similarity of exactly 0.85 (0.80) the bands miss a pair with a probability of 8e-7
+(1e-7), if 0.85 (0.80) is what is asked for.
 Null, empty and blank texts have no shingles and are linked with nothing; texts with
 fewer than five words are one shingle. Repeated rows each get a result row; rows that
 share an id share its component. Empty tables give empty results. Other columns are
@@ -22,6 +24,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
@@ -30,10 +33,11 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import discard, map_batches, materialise
 
-SHINGLE, BANDS, ROWS = 5, 24, 5
-HASHES = BANDS * ROWS
-#: Share of 100 that the intersection must have of the union; equal signature places below which a pair hardly has it (4 sigma).
-SIMILARITY, LEAST_EQUAL = 85, 86
+SHINGLE, HASHES = 5, 120
+#: Share of 100 that the intersection must have of the union.
+SIMILARITY = 85
+#: Probability with which the bands may miss a pair at exactly the similarity asked for.
+BAND_MISS = 1e-6
 #: Sides below this many ids (8 bytes each) may be broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -112,12 +116,24 @@ def signature(found: np.ndarray) -> np.ndarray:
     return (least >> U(32)).astype(np.uint32)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    return mixed((rows * PLACES[:ROWS]).sum(axis=1, dtype=np.uint64) + mixed(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
+def band_rows(similarity: int) -> int:
+    """The most rows (5 at most) that a band may have."""
+    p = similarity / 100
+    return next(r for r in (5, 4, 3, 2, 1) if r == 1 or (1 - p**r) ** (HASHES // r) <= BAND_MISS)
 
 
-def _sketch(batch) -> dict:
+def least_equal(similarity: int) -> int:
+    """Equal signature places below which a pair hardly has the similarity (4 sigma)."""
+    p = similarity / 100
+    return math.floor(HASHES * p - 4 * math.sqrt(HASHES * p * (1 - p)))
+
+
+def band_keys(sig: np.ndarray, per_band: int) -> np.ndarray:
+    rows = sig.reshape(-1, per_band).astype(np.uint64)
+    return mixed((rows * PLACES[:per_band]).sum(axis=1, dtype=np.uint64) + mixed(np.arange(1, len(rows) + 1, dtype=np.uint64))).view(np.int64)
+
+
+def _sketch(per_band: int, batch) -> dict:
     out: dict = {"n": [], "h1": [], "h2": [], "sig": [], "bands": []}
     for text in batch.column(1).to_pylist():
         found = shingles(text)
@@ -126,14 +142,14 @@ def _sketch(batch) -> dict:
         out["h2"].append(int(mixed(found ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
         sig = signature(found) if len(found) else None
         out["sig"].append(None if sig is None else sig.tobytes())
-        out["bands"].append(None if sig is None else band_keys(sig).tolist())
+        out["bands"].append(None if sig is None else band_keys(sig, per_band).tolist())
     return {"doc_id": batch.column(0)} | out
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n (set size), h1, h2 (hashes of the set), sig, bands for each row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_batches(docs, _sketch, "doc_id long, n long, h1 long, h2 long, sig binary, bands array<long>")
+    return map_batches(docs, partial(_sketch, band_rows(similarity)), "doc_id long, n long, h1 long, h2 long, sig binary, bands array<long>")
 
 
 def _sets(batch) -> dict:
@@ -144,24 +160,24 @@ def _equal_places(a: bytes, b: bytes) -> int:
     return int((np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)).sum())
 
 
-def _alike(batch) -> dict:
+def _alike(least: int, batch) -> dict:
     """Drops the pairs whose signatures rule them out."""
     a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-    fine = [i for i in range(len(a)) if _equal_places(x[i], y[i]) >= LEAST_EQUAL]
+    fine = [i for i in range(len(a)) if _equal_places(x[i], y[i]) >= least]
     return {"a": [a[i] for i in fine], "b": [b[i] for i in fine]}
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
+def linked(x: np.ndarray, y: np.ndarray, similarity: int = SIMILARITY) -> bool:
     """x, y: sorted distinct."""
     both = np.concatenate((x, y))
     both.sort(kind="stable")
     common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= SIMILARITY * (len(both) - common)
+    return 100 * common >= similarity * (len(both) - common)
 
 
-def _confirm(batch) -> dict:
+def _confirm(similarity: int, batch) -> dict:
     a, b, x, y = (batch.column(i) for i in range(4))
-    fine = [i for i in range(len(a)) if linked(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64))]
+    fine = [i for i in range(len(a)) if linked(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64), similarity)]
     a, b = a.to_pylist(), b.to_pylist()
     return {"a": [a[i] for i in fine], "b": [b[i] for i in fine]}
 
@@ -220,7 +236,7 @@ def _shingle_rows(batch) -> dict:
     return {"doc_id": np.repeat(ids, [len(x) for x in found]), "shingle": np.concatenate(found)}
 
 
-def _linkable(open_: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
+def _linkable(open_: DataFrame, docs: DataFrame, sizes: DataFrame, similarity: int) -> DataFrame:
     """key, doc_id, n, common, i of open_ without the documents that can't have a link in the band.
 
     A shingle that one document alone has is in no intersection. With n shingles, u of
@@ -234,60 +250,60 @@ def _linkable(open_: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
     sized = open_.join(sizes, "doc_id").join(own, "doc_id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     least = sized.groupBy("key").agg(F.min("n").alias("least"))
     common = F.col("n") - F.col("u")
-    sized = sized.join(least, "key").filter(100 * common >= SIMILARITY * (F.greatest("least", common) + F.col("u")))
+    sized = sized.join(least, "key").filter(100 * common >= similarity * (F.greatest("least", common) + F.col("u")))
     # small components have the larger labels as a rule; as pivots they leave one component behind
     order = Window.partitionBy("key").orderBy(F.desc("component"), "doc_id")
     return sized.select("key", "doc_id", "n", common.alias("common"), F.row_number().over(order).alias("i"))
 
 
-def _pivot_pairs(open_: DataFrame, pivots: int) -> DataFrame:
+def _pivot_pairs(open_: DataFrame, pivots: int, similarity: int) -> DataFrame:
     """Pairs (a, b) of each band's members up to number i = pivots with those after them in other components."""
     chosen = open_.filter(F.col("i") <= pivots).select("key", *[F.col(c).alias(f"p_{c}") for c in ("doc_id", "component", "n", "common", "i")])
     most = F.least("common", "p_common")
-    fine = (F.col("i") > F.col("p_i")) & (F.col("component") != F.col("p_component")) & (100 * most >= SIMILARITY * (F.col("n") + F.col("p_n") - most))
+    fine = (F.col("i") > F.col("p_i")) & (F.col("component") != F.col("p_component")) & (100 * most >= similarity * (F.col("n") + F.col("p_n") - most))
     pairs = open_.join(chosen, "key").filter(fine)
     return pairs.select(F.least("p_doc_id", "doc_id").alias("a"), F.greatest("p_doc_id", "doc_id").alias("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, first: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
     """The pairs(a, b) that are linked: judged by signatures, then on full sets."""
-    near = materialise(map_batches(_with(pairs, first, "sig"), _alike, "a long, b long"), "near")
+    near = materialise(map_batches(_with(pairs, first, "sig"), partial(_alike, least_equal(similarity)), "a long, b long"), "near")
     ids = materialise(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     sets = map_batches(restrict(docs, ids).dropDuplicates(["doc_id"]), _sets, "doc_id long, found binary")
-    return materialise(map_batches(_with(near, materialise(sets, "sets"), "found"), _confirm, "a long, b long"), "links")
+    return materialise(map_batches(_with(near, materialise(sets, "sets"), "found"), partial(_confirm, similarity), "a long, b long"), "links")
 
 
-def link_components(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, component for representatives with links; found: sketch(docs), written."""
+def link_components(docs: DataFrame, found: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, component for representatives with links; found: sketch(docs, similarity), written."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes = found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("doc_id"))
     first = materialise(found.select("doc_id", "n", "sig", "bands").join(classes.select("doc_id"), "doc_id", "left_semi"), "first")
     keys = first.select("doc_id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key")
     members = materialise(keys.join(shared, "key").select("key", "doc_id").distinct(), "members")
-    links = _confirmed(materialise(_stars(members), "pairs"), first, docs)
+    links = _confirmed(materialise(_stars(members), "pairs"), first, docs, similarity)
     labels = components(links)
     open_ = materialise(_open(members, labels), "open")
     if open_.isEmpty():
         return labels
     sizes = first.select("doc_id", "n").dropDuplicates(["doc_id"])
-    members = materialise(_linkable(open_, docs, sizes), "linkable")
+    members = materialise(_linkable(open_, docs, sizes, similarity), "linkable")
     done, pivots = 0, 4
     while True:
         open_ = materialise(_open(members.filter(F.col("i") > done), labels), "open")
         if open_.isEmpty():
             return labels
-        more = _confirmed(materialise(_pivot_pairs(open_, pivots), "pairs"), first, docs)
+        more = _confirmed(materialise(_pivot_pairs(open_, pivots, similarity), "pairs"), first, docs, similarity)
         if not more.isEmpty():
             links = materialise(links.unionByName(more), "links")
             labels = components(links)
         done, pivots = pivots, 4 * pivots
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
-    found = materialise(sketch(docs), "sketch")
-    labels = link_components(docs, found)
+    found = materialise(sketch(docs, similarity), "sketch")
+    labels = link_components(docs, found, similarity)
     rows = found.select("doc_id", "n", "h1", "h2")
     classes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"))
     classes = classes.join(labels.select(F.col("doc_id").alias("least"), "component"), "least", "left").select("n", "h1", "h2", F.coalesce("component", "least").alias("component"))
@@ -296,7 +312,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """docs without the rows that are not the least id of their component; columns unchanged."""
-    gone = materialise(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    gone = materialise(near_duplicates(docs, similarity).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
     return restrict(docs, gone, "left_anti")
