@@ -123,6 +123,7 @@ def plain_text(spark, sf_dir):
 
 
 DERIVED_METADATA = "CASE item_id % 5 WHEN 0 THEN 'Keywords: ' || substr(text, 1, 100) WHEN 1 THEN substr(text, 1, 100) || ' Key words: one, two' WHEN 2 THEN 'This work was supported by ' || substr(text, 1, 50) ELSE substr(text, 1, 200) END"
+METADATA_WHOLE = re.sub(r"substr\(text, 1, [0-9]+\)", "text", DERIVED_METADATA)
 
 
 TAIL = ordered.METADATA_TAIL[4:]
@@ -135,7 +136,17 @@ c AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?is)^.+?{TAIL}') THEN rege
 SELECT * FROM c WHERE text <> ''
 """)
 def metadata(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").selectExpr("item_id AS doc_id", f"{DERIVED_METADATA} AS text")
+    return _without_metadata(spark, sf_dir, DERIVED_METADATA)
+
+
+@query(SQL["metadata"].replace(DERIVED_METADATA, METADATA_WHOLE))
+def metadata_whole(spark, sf_dir):
+    """metadata over whole texts."""
+    return _without_metadata(spark, sf_dir, METADATA_WHOLE)
+
+
+def _without_metadata(spark, sf_dir, text: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").selectExpr("item_id AS doc_id", f"{text} AS text")
     s = b.select("doc_id", F.lit(0).alias("index"), "text", F.col("text").alias("source_text"), F.lit("paragraph").alias("segment_type"))
     return ordered.drop_metadata(s).select("doc_id", "text")
 
@@ -143,6 +154,7 @@ def metadata(spark, sf_dir):
 # ---- rewriting ----
 
 PROSE_TEXT = "substr(text, 1, 300) || CASE item_id % 6 WHEN 0 THEN ' see Fig. 3 vs. Eq. 2, e.g. [1, 2] i.i.d. data' WHEN 1 THEN ' as shown (Smith et al., 2020) w.r.t. x [Bau69].' WHEN 2 THEN ' at https://example.com/a?b=c and () or [] (1, 2)' WHEN 3 THEN ' the (k+1)-th seq. of tab. 4, i.e. w.l.o.g. word.12' WHEN 4 THEN ' ## 1.2 Title * bold * iid [Doe, 1999]' ELSE ' plain' END"
+PROSE_WHOLE = PROSE_TEXT.replace("substr(text, 1, 300)", "text")
 
 
 def _sql_text(s: str) -> str:
@@ -161,6 +173,12 @@ def prose_rules(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").selectExpr("item_id", f"{PROSE_TEXT} AS t").select("item_id", rewrite.prose(F.col("t")).alias("spoken"))
 
 
+@query(SQL["prose_rules"].replace(PROSE_TEXT, PROSE_WHOLE))
+def prose_rules_whole(spark, sf_dir):
+    """prose_rules over whole texts."""
+    return table(spark, sf_dir, "benchmark").selectExpr("item_id", f"{PROSE_WHOLE} AS t").select("item_id", rewrite.prose(F.col("t")).alias("spoken"))
+
+
 MATH_TEXT = r"""CASE p_partkey % 9 WHEN 0 THEN '\frac{' || p_size || '}{\sqrt{x_' || p_partkey || '}}' WHEN 1 THEN 'x^2 + y^{' || p_size || '} \leq \alpha' WHEN 2 THEN '\sum_{i=1}^n \log_' || p_size % 10 || ' \hat{y}'
 WHEN 3 THEN '\forall x \in \mathbb{R}, \|x\| \geq ' || p_size WHEN 4 THEN '\left( a \rightarrow b \right) \cdots ' || p_partkey WHEN 5 THEN '\nabla f \cdot \text{per-unit} ' || p_size WHEN 6 THEN 'A \cup B \subseteq C_{' || p_size || '}'
 WHEN 7 THEN '\sin \theta \times \sqrt[3]{' || p_size || '} \pmod{' || p_partkey || '}' ELSE 'G \cong H \rtimes K, x \not\in ' || p_size END"""
@@ -315,7 +333,7 @@ def markup_segments(spark, sf_dir):
 def footnotes(spark, sf_dir):
     s = conversation_segments(spark, sf_dir)
     note = F.col("index") % 4 == 3
-    text = F.when(note, F.concat(F.lit("Footnote 1: "), F.substring("text", 1, 60))).when(F.col("index") % 4 == 1, F.concat(F.lit("See this.1 "), F.col("text"))).otherwise(F.col("text"))
+    text = F.when(note, F.concat(F.lit("Footnote 1: "), F.col("text"))).when(F.col("index") % 4 == 1, F.concat(F.lit("See this.1 "), F.col("text"))).otherwise(F.col("text"))
     return markup.relocate_footnotes(s.withColumn("text", text))
 
 

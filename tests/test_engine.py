@@ -1,7 +1,9 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from lectern.functions import rewrite
 from lectern.operators import markup, ordered, timing
+from lectern.plans import catalogue
 
 
 def test_prose_rules_apply_in_order(spark):
@@ -83,6 +85,19 @@ def test_looping_sentences_of_a_block_go(spark):
     assert desktop[1] == loop
 
 
+def test_derived_queries_run_on_whole_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    notes = [r for r in catalogue.QUERIES["footnotes"](spark, sf).filter("segment_type = 'footnote'").collect()]
+    assert any(len(r.source_text) > 60 for r in notes)
+    assert all(r.text == f"Footnote 1: {r.source_text.strip()} End of footnote." for r in notes)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{sf}/benchmark.parquet'")
+        for name in ("prose_rules_whole", "metadata_whole"):
+            found = sorted(map(tuple, catalogue.QUERIES[name](spark, sf).collect()))
+            assert found == sorted(db.execute(catalogue.SQL[name]).fetchall())
+            assert max(len(t) for _, t in found) > 350
+
+
 def test_lint(spark):
     pages = spark.createDataFrame([(1, 1, r"\alpha \foo \foo \bar"), (1, 2, "none")], "doc_id long, page_no int, mmd string")
     names = spark.createDataFrame([("alpha",), ("bar",)], "name string")
