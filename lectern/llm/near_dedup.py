@@ -15,7 +15,7 @@
 
 The similarity asked for sets the bands, the least of equal places and the exact bounds.
 At a similarity of exactly 0.85 (0.80) the bands miss a pair with a probability of 8e-7
-(1e-7), if 0.85 (0.80) is what is asked for.
+(1e-7), if 0.85 (0.80) is what is asked for; the signatures rule it out with one of 5e-8.
 Null, empty and blank texts have no shingles and are linked with nothing; texts with
 fewer than five words are one shingle. Repeated rows each get a result row; rows that
 share an id share its component. Empty tables give empty results. Other columns are
@@ -38,6 +38,8 @@ SHINGLE, HASHES = 5, 120
 SIMILARITY = 85
 #: Probability with which the bands may miss a pair at exactly the similarity asked for.
 BAND_MISS = 1e-6
+#: Probability with which too few equal signature places may rule such a pair out.
+SIGNATURE_MISS = 1e-7
 #: Sides below this many ids (8 bytes each) may be broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -123,9 +125,13 @@ def band_rows(similarity: int) -> int:
 
 
 def least_equal(similarity: int) -> int:
-    """Equal signature places below which a pair hardly has the similarity (4 sigma)."""
-    p = similarity / 100
-    return math.floor(HASHES * p - 4 * math.sqrt(HASHES * p * (1 - p)))
+    """The equal signature places that a pair at exactly the similarity has, but for SIGNATURE_MISS."""
+    p, below = similarity / 100, 0.0
+    for k in range(HASHES + 1):
+        below += math.comb(HASHES, k) * p**k * (1 - p) ** (HASHES - k)
+        if below > SIGNATURE_MISS:
+            return k
+    return HASHES
 
 
 def band_keys(sig: np.ndarray, per_band: int) -> np.ndarray:

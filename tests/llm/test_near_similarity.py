@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from test_operators import near_cases, shingle_set
 
 from lectern.llm import near_dedup
@@ -37,3 +39,11 @@ def test_pairs_at_the_limit_are_linked(docs_of):
     docs = docs_of(borderline())
     assert sorted(r.doc_id for r in near_dedup.keep_one(docs, 80).collect()) == list(range(0, 600, 2))
     assert near_dedup.keep_one(docs, 81).count() == 600
+
+
+def test_few_equal_places_reach_the_full_sets():
+    assert [near_dedup.least_equal(k) for k in (80, 85)] == [71, 79]
+    x, y = np.zeros(near_dedup.HASHES, np.uint32), np.zeros(near_dedup.HASHES, np.uint32)
+    y[79:] = 1
+    batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "x": [x.tobytes()], "y": [y.tobytes()]})
+    assert near_dedup._alike(near_dedup.least_equal(85), batch) == {"a": [1], "b": [2]}
