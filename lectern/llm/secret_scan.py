@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded_sample, map_batches
+from lectern.llm.common import map_batches
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -36,13 +36,15 @@ CODE[[ord(c) for c in SYMBOLS]] = range(len(SYMBOLS))
 
 #: A token counts as random from this log-likelihood ratio on, in total and for each transition.
 LEAST_TOTAL, LEAST_MEAN = 14.0, 0.55
-#: Upper bound on the documents whose words train the model of ordinary identifiers (about; see bounded_sample).
-TRAINING_DOCUMENTS = 2000
 RANDOM_STRINGS = 6000
 
 
+def _codes(text: str) -> np.ndarray:
+    return CODE[np.minimum(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), 127)]
+
+
 def transitions(token: str) -> tuple[np.ndarray, np.ndarray]:
-    code = CODE[np.minimum(np.frombuffer(token.encode("utf-32-le"), dtype=np.uint32), 127)]
+    code = _codes(token)
     return np.concatenate(([N - 1], code[:-1])), code
 
 
@@ -69,18 +71,21 @@ def _identifiers(batch) -> dict:
 
 def _count(batch) -> dict:
     counts = np.zeros((2, N, N), dtype=np.int64)
-    for token, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        if token:
-            np.add.at(counts[int(bool(label))], transitions(token), 1)
+    rows = [(token, bool(label)) for token, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if token]
+    for kind in (False, True):
+        tokens = [token for token, label in rows if label == kind]
+        if tokens:
+            code = _codes("".join(tokens))
+            before = np.concatenate(([N - 1], code[:-1]))
+            before[np.cumsum([0, *map(len, tokens[:-1])])] = N - 1
+            counts[int(kind)] = np.bincount(before * N + code, minlength=N * N).reshape(N, N)
     label, a, b = np.nonzero(counts)
     return {"random": label.tolist(), "a": a.tolist(), "b": b.tolist(), "n": counts[label, a, b].tolist()}
 
 
-def training_samples(docs: DataFrame, documents: int = TRAINING_DOCUMENTS) -> DataFrame:
-    """(token, random): words of a bounded sample of docs(doc_id, text) as 0, generated strings as 1."""
-    sampled = bounded_sample(docs.select("doc_id"), documents)
-    plain = docs.select("doc_id", "text").join(F.broadcast(sampled.distinct()), "doc_id", "left_semi")  # at most 2 * documents ids
-    plain = map_batches(plain.select("text"), _identifiers, "token string, random int")
+def training_samples(docs: DataFrame) -> DataFrame:
+    """(token, random): words of all docs(text) as 0, generated strings as 1."""
+    plain = map_batches(docs.select("text"), _identifiers, "token string, random int")
     return plain.unionByName(docs.sparkSession.createDataFrame([(x, 1) for x in random_strings()], "token string, random int"))
 
 
