@@ -107,7 +107,7 @@ def cropped(c: Column) -> Column:
     def crop(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else crop_repeats(x))
 
-    return crop(c)
+    return crop.asNondeterministic()(c)  # so that filters behind it don't run it again
 
 
 def drop_repeated_segments(segments: DataFrame) -> DataFrame:
