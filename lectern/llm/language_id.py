@@ -6,9 +6,10 @@ of the nearest centroid by cosine. A text farther from it than nearly all traini
 texts of that centroid is marked as rejected.
 
 Document frequencies are counted over all training rows; the centroids are fitted on a
-bounded sample of them. Only the text enters a prediction. Null texts and texts without
-a letter get ``und`` and score 0; so does everything if there is no training row. Rows
-are independent; other columns are ignored.
+bounded sample of each language's rows, so that rare languages are learned too. Only the
+text enters a prediction. Null texts and texts without a letter get ``und`` and score 0;
+so does everything if there is no training row. Rows are independent, repeated ones count
+once in the sample; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import bounded_sample, id_crc, map_batches
 
 DIM, GRAMS, CENTROIDS = 2048, (1, 2, 3), 4
-#: At most about this many training rows fit the centroids; share of them within the rejection distance.
-TRAINING_ROWS, WITHIN = 4000, 0.995
+#: About this many training rows of each language fit its centroids; share of them within the rejection distance.
+TRAINING_ROWS, WITHIN = 1000, 0.995
 STEP = np.uint32(0x9E3779B1)
 
 
@@ -131,9 +132,9 @@ def train(docs: DataFrame, rows: int = TRAINING_ROWS, centroids: int = CENTROIDS
     for r in counted:
         df[r.gram] = r.n
     idf = np.log((1 + total) / (1 + df)) + 1
-    found = map_batches(bounded_sample(known, rows, total=total).select("lang", "text"), _vectors, "lang string, counts binary")
+    found = map_batches(bounded_sample(known, rows, ["lang", "text"], stratum="lang").select("lang", "text"), _vectors, "lang string, counts binary")
     by: dict[str, list] = {}
-    for r in found.toLocalIterator():  # at most 2 * rows
+    for r in found.toLocalIterator():  # about ``rows`` for each language
         x = tfidf(np.frombuffer(r.counts, dtype=np.int32), idf).astype(np.float32)
         if x.any():
             by.setdefault(r.lang, []).append(x)

@@ -1,13 +1,16 @@
 """Toxicity classifier with counterfactual regularisation.
 
 A logistic model over the words of a text and the first four and five letters of
-each, present or absent. For every labelled text that mentions an identity term, the
-terms of the same group are swapped in; the penalty is the mean squared change of the
-score (as a logit) under these swaps, so that a mention by itself cannot move it.
+each, present or absent. Sentences of the labelled texts are rewritten: an identity term
+gives way to another of its group, and to a word that names no group; where a text mentions none, a term is put into one of
+its sentences, and then swapped. The penalty is the mean squared change of the score
+between a sentence and its rewritten form, so that a mention by itself cannot move it.
 
 Only the text enters a score. Null and empty texts get the score of no words. Texts
-are read whole; rows are independent; other columns are ignored. Without any labelled
-row, every score is 0.
+are read whole; rows are independent, repeated ones alike; other columns are ignored.
+Without any labelled row, every score is 0. Labels that are null or neither 0 nor 1 don't
+count; an id with several labels is toxic if one of them is 1. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -15,18 +18,24 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded_sample, id_crc, map_batches
+from lectern.llm.common import bounded_sample, discard, fresh, id_crc, map_batches, materialise
 
 WORD = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[^.!?\n]*[^\W\d_][^.!?\n]*[.!?]*")
 DIM = 1 << 20
-#: At most about this many labelled rows fit the model (see bounded_sample); features kept; cache of words for each worker.
+#: About this many labelled rows fit the model (see bounded_sample); features kept; cache of words for each worker.
 TRAINING_ROWS, FEATURES, CACHED_WORDS = 8000, 4096, 300_000
+#: At most so many rewritten sentences of a labelled text enter the penalty.
+PAIRS_PER_TEXT = 4
+#: The word that names no group.
+NEUTRAL = "people"
 #: Our own short list; a caller passes another as ``groups``.
 IDENTITY_GROUPS = (
     ("women", "men", "girls", "boys", "transgender"),
@@ -79,82 +88,209 @@ class Model:
         return {"weights": self.weights, "bias": self.bias, "seen": {}}
 
 
-def swaps(found: set[int], groups=IDENTITY_GROUPS) -> list[tuple[list[int], list[int]]]:
-    """Features gained and lost when an identity term of a text gives way to another of its group."""
+@lru_cache(maxsize=4)
+def _terms(groups: tuple) -> tuple[re.Pattern, dict]:
+    group_of = {t: g for g in groups for t in g}
+    return re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, group_of), key=len, reverse=True)) + r")\b"), group_of
+
+
+def counterfactuals(text: str | None, groups=IDENTITY_GROUPS, most: int = PAIRS_PER_TEXT) -> list[tuple[str, str]]:
+    """Lower-case sentences of text, each with a rewritten form. Deterministic.
+
+    In a sentence that mentions a term, another of its group takes its place (one pair)
+    and so does NEUTRAL (another). Without any mention, a term is put into one sentence
+    (one pair), and swapped there (another).
+    """
+    low = (text or "").lower()
+    sentences = SENTENCE.findall(low)
+    if not sentences or not any(groups):
+        return []
+    pattern, group_of = _terms(tuple(map(tuple, groups)))
+    draw = zlib.crc32(low.encode())
+    if pattern.search(low):
+        out = []
+        for s in sentences:
+            for term in sorted(set(pattern.findall(s))):
+                others = [t for t in group_of[term] if t != term]
+                for other in (*others[(draw + len(out)) % max(1, len(others)) :][:1], NEUTRAL):
+                    out.append((s, re.sub(rf"\b{re.escape(term)}\b", other, s)))
+        step = max(1, -(-len(out) // most))
+        return out[:: step]
+    sentence, group = sentences[draw % len(sentences)].split(), groups[draw // 7 % len(groups)]
+    a, b = group[draw // 64 % len(group)], group[(draw // 64 + 1) % len(group)]
+    at = draw // 4096 % (len(sentence) + 1)
+    plain, one, other = (" ".join(sentence[:at] + x + sentence[at:]) for x in ([], ["the", a], ["the", b]))
+    return [(plain, one), (one, other)][:most]
+
+
+def swaps(found: set[int], groups=IDENTITY_GROUPS) -> list[tuple[set[int], set[int]]]:
+    """For texts known by their features alone: the features before and after an identity term gives way to another."""
     out = []
     for group in groups:
         of = {t: set(features(t)) for t in group}
         here = [t for t in group if of[t] <= found]
-        out += [(sorted(of[b] - found), sorted(of[a] - of[b])) for a in here for b in group if b not in here]
+        out += [(found, found - of[a] | of[b]) for a in here for b in group if b not in here]
     return out
 
 
-def fit(rows: list[tuple[int, list[int]]], groups=IDENTITY_GROUPS, strength: float = 2.0, ridge: float = 2e-4, steps: int = 300) -> Model:
-    """rows: (label, features). Deterministic full-batch descent (Adam) on log loss, ridge and the swap penalty."""
-    rows = [(int(y), f) for y, f in rows if y is not None]
-    positive = sum(y for y, _ in rows)
-    if not rows or positive in (0, len(rows)):
-        return Model({}, -40.0 if not positive else 40.0)
-    counts = np.zeros((2, DIM))
-    for y, f in rows:
-        counts[y, f] += 1
-    totals = np.array([len(rows) - positive, positive], dtype=float)
-    rate = (counts + 0.5) / (totals[:, None] + 1)
-    odds = np.log(rate[1] / (1 - rate[1])) - np.log(rate[0] / (1 - rate[0]))
-    z = np.abs(odds) / np.sqrt((1 / (counts + 0.5) + 1 / (totals[:, None] - counts + 0.5)).sum(axis=0))
-    z[counts.sum(axis=0) < 2] = 0
-    kept = [int(i) for i in np.argsort(-z, kind="stable")[:FEATURES] if z[i] > 2]
-    identity = {f for g in groups for t in g for f in features(t)}
-    kept = sorted({*kept, *(f for f in identity if counts[:, f].sum())})
-    place = {f: i for i, f in enumerate(kept)}
-    y = np.array([r[0] for r in rows], dtype=float)
-    active = [[place[f] for f in r[1] if f in place] for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(a) for a in active])
-    col = np.array([c for a in active for c in a], dtype=np.intp)
-    moved = [([place[f] for f in plus if f in place], [place[f] for f in minus if f in place]) for _, f in rows for plus, minus in (swaps(set(f), groups) if identity.intersection(f) else ())]
-    change = np.zeros((len(moved), len(kept))) if len(moved) * len(kept) < 2e7 else None
-    if change is None:  # only the second moments of the swaps enter the penalty
-        moment = np.zeros((len(kept), len(kept)))
-        for plus, minus in moved:
-            d = np.zeros(len(kept))
-            d[plus], d[minus] = 1, -1
-            at = np.flatnonzero(d)
-            moment[np.ix_(at, at)] += np.outer(d[at], d[at])
-    else:
-        for i, (plus, minus) in enumerate(moved):
-            change[i, plus], change[i, minus] = 1, -1
-        moment = change.T @ change
-    moment = moment / max(1, len(moved))
-    w, b = np.zeros(len(kept)), math.log(positive / (len(rows) - positive))
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+def evidence(n0, n1, t0, t1, m):
+    """How surely a feature in n0 of t0 and n1 of t1 texts tells the classes apart (z of its log odds); m: numpy or Spark functions."""
+    odds = m.log((n1 + 0.5) / (t1 - n1 + 0.5)) - m.log((n0 + 0.5) / (t0 - n0 + 0.5))
+    return m.abs(odds) / m.sqrt(1 / (n0 + 0.5) + 1 / (n1 + 0.5) + 1 / (t0 - n0 + 0.5) + 1 / (t1 - n1 + 0.5))
+
+
+#: Features below this evidence, or in one text alone, aren't kept.
+LEAST_EVIDENCE = 2.0
+
+
+class Ragged:
+    """Rows of places (numbers below width), as flat arrays."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.n = len(rows)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(r) for r in rows])
+        self.col = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.col], minlength=self.n)
+
+    def back(self, error: np.ndarray, width: int) -> np.ndarray:
+        return np.bincount(self.col, error[self.row], minlength=width)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def _descend(y: np.ndarray, texts: Ragged, before: Ragged, after: Ragged, width: int, strength: float, ridge: float, steps: int) -> tuple[np.ndarray, float]:
+    """Full-batch descent (Adam) on log loss, ridge and the squared change of scores. Deterministic."""
+    w, b = np.zeros(width), math.log(y.sum() / (len(y) - y.sum()))
+    m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, steps + 1):
-        logit = b + np.bincount(row, w[col], minlength=len(rows))
-        error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) / len(rows)
-        g = np.bincount(col, error[row], minlength=len(kept)) + 2 * ridge * w + 2 * strength * (moment @ w if moved else 0)
-        gb = error.sum()
+        error = (_sigmoid(b + texts.dot(w)) - y) / len(y)
+        g, gb = texts.back(error, width) + 2 * ridge * w, error.sum()
+        if before.n and strength:
+            p, q = _sigmoid(b + before.dot(w)), _sigmoid(b + after.dot(w))
+            change = 2 * strength / before.n * (p - q)
+            ep, eq = change * p * (1 - p), -change * q * (1 - q)
+            g, gb = g + before.back(ep, width) + after.back(eq, width), gb + ep.sum() + eq.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         b -= 0.05 * (mb / (1 - 0.9**t)) / (math.sqrt(vb / (1 - 0.999**t)) + 1e-9)
-    return Model({f: float(x) for f, x in zip(kept, w, strict=True) if x}, float(b))
+    return w, float(b)
+
+
+def constant(positive: int, rows: int) -> Model | None:
+    """The model for labels of one kind, or none."""
+    return Model({}, 40.0 if positive else -40.0) if positive in (0, rows) else None
+
+
+#: Weight of the penalty against the log loss; of the squared weights; steps of the descent.
+STRENGTH, RIDGE, STEPS = 64.0, 2e-4, 300
+
+
+def _identity(groups) -> set[int]:
+    return {f for g in groups for t in g for f in features(t)}
+
+
+def fit(rows: list[tuple[int, list[int]]], groups=IDENTITY_GROUPS, strength: float = STRENGTH, ridge: float = RIDGE, steps: int = STEPS, pairs=None) -> Model:
+    """For rows that fit into memory: (label, features); pairs of feature sets that should score alike (default: swaps of the rows)."""
+    rows = [(int(y), set(f)) for y, f in rows if y is not None]
+    if (one := constant(sum(y for y, _ in rows), len(rows))) is not None:
+        return one
+    pairs = [p for _, f in rows for p in swaps(f, groups)] if pairs is None else pairs
+    counts = np.zeros((2, DIM))
+    for y, f in rows:
+        counts[y, list(f)] += 1
+    totals = [sum(y == k for y, _ in rows) for k in (0, 1)]
+    z = np.where(counts.sum(axis=0) < 2, 0, evidence(counts[0], counts[1], *totals, np))
+    best = [int(i) for i in np.argsort(-z, kind="stable")[:FEATURES] if z[i] > LEAST_EVIDENCE]
+    kept = sorted({*best, *_identity(groups)})
+    place = {f: i for i, f in enumerate(kept)}
+    packed = lambda sets: Ragged([np.array(sorted(place[f] for f in s if f in place), dtype=np.int32) for s in sets])
+    y = np.array([r[0] for r in rows], dtype=float)
+    w, b = _descend(y, packed([f for _, f in rows]), packed([p for p, _ in pairs]), packed([q for _, q in pairs]), len(kept), strength, ridge, steps)
+    return Model({f: float(x) for f, x in zip(kept, w, strict=True) if x}, b)
 
 
 def held_out() -> Column:
     return id_crc() % 4 == 2
 
 
-def _features(batch) -> dict:
-    return {"toxic": batch.column(0), "found": [sorted(text_features(t)) for t in batch.column(1).to_pylist()]}
+def _pack(found: set[int]) -> bytes:
+    return np.array(sorted(found), dtype=np.int32).tobytes()
+
+
+def _features(groups, batch) -> dict:
+    texts = batch.column(1).to_pylist()
+    pairs = [counterfactuals(t, groups) for t in texts]
+    return {
+        "toxic": batch.column(0),
+        "found": [_pack(text_features(t)) for t in texts],
+        "before": [[_pack(text_features(a)) for a, _ in p] for p in pairs],
+        "after": [[_pack(text_features(b)) for _, b in p] for p in pairs],
+    }
+
+
+def _count(batch) -> dict:
+    """Texts of each class that have a feature, for the features of a batch."""
+    found = [np.frombuffer(x, np.int32) for x in batch.column(1).to_pylist()]
+    label = np.repeat(np.asarray(batch.column(0)), [len(x) for x in found])
+    feature, at = np.unique(np.concatenate(found), return_inverse=True)
+    n = [np.bincount(at[label == k], minlength=len(feature)) for k in (0, 1)]
+    return {"feature": feature, "n0": n[0], "n1": n[1]}
+
+
+def _places(kept: bytes, batch) -> dict:
+    """Features to places among the kept ones; the others are left out."""
+    known = np.frombuffer(kept, np.int32)
+
+    def place(raw: bytes) -> bytes:
+        found = np.frombuffer(raw, np.int32)
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        return at[known[at] == found].astype(np.int32).tobytes()
+
+    found, before, after = (batch.column(i).to_pylist() for i in (1, 2, 3))
+    return {"toxic": batch.column(0), "found": [place(x) for x in found], "before": [[place(x) for x in p] for p in before], "after": [[place(x) for x in p] for p in after]}
+
+
+PACKED = "toxic int, found binary, before array<binary>, after array<binary>"
+
+
+def _ragged(column: pa.ChunkedArray) -> Ragged:
+    return Ragged([np.frombuffer(x.as_buffer(), np.int32) for x in column])
+
 
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, groups=IDENTITY_GROUPS, strength: float = STRENGTH, ridge: float = RIDGE, steps: int = STEPS) -> Model:
+    """Fits on a bounded sample of the labelled rows that are not held out.
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, groups=IDENTITY_GROUPS, **fitting) -> Model:
-    """Fits on a bounded sample of the labelled rows that are not held out."""
+    Features are counted by class in the cluster; the driver gets the kept ones, and
+    the places of these in each sampled row, as packed numbers.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = bounded_sample(known, rows)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # at most 2 * rows ids
-    found = map_batches(found.select("toxic", "text"), _features, "toxic int, found array<int>").limit(4 * rows)
-    return fit([(r.toxic, r.found) for r in found.toLocalIterator()], groups, **fitting)
+    known = bounded_sample(known, rows, ["doc_id"])
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # about ``rows`` ids
+    found = materialise(found, "labelled")
+    some = bounded_sample(found, 2 * rows, ["doc_id", "text"])  # an id may have many rows
+    packed = materialise(map_batches(some.select("toxic", "text"), partial(_features, groups), PACKED), "packed")
+    discard(found)
+    total = {r.toxic: r.n for r in packed.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    t0, t1 = total.get(0, 0), total.get(1, 0)
+    if (one := constant(t1, t0 + t1)) is not None:
+        return one
+    counted = map_batches(packed.select("toxic", "found"), _count, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    z = evidence(F.col("n0"), F.col("n1"), F.lit(t0), F.lit(t1), F)
+    best = counted.filter(F.col("n0") + F.col("n1") > 1).select("feature", z.alias("z")).filter(F.col("z") > LEAST_EVIDENCE)
+    best = best.orderBy(F.desc("z"), "feature").limit(FEATURES)
+    kept = np.array(sorted({*(r.feature for r in best.collect()), *_identity(groups)}), dtype=np.int32)
+    table = map_batches(packed, partial(_places, kept.tobytes()), PACKED).toArrow()  # a few hundred bytes for each row
+    table = table.take(sorted(range(table.num_rows), key=lambda i: (table["found"][i].as_py(), table["toxic"][i].as_py())))  # sums in one order
+    pairs = [_ragged(pa.chunked_array([table[c].combine_chunks().flatten()])) for c in ("before", "after")]
+    w, b = _descend(table["toxic"].to_numpy().astype(float), _ragged(table["found"]), *pairs, len(kept), strength, ridge, steps)
+    discard(packed)
+    return Model({int(f): float(x) for f, x in zip(kept, w, strict=True) if x}, b)
 
 
 def _score(model: Model, batch) -> dict:
@@ -166,13 +302,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), partial(_score, model), "doc_id long, score double")
 
 
-def _flag(model: Model, place: int, limit: float, batch) -> dict:
-    columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-    return columns | {"__toxic": [model.score(t) >= limit for t in batch.column(place).to_pylist()]}
+def _flag(model: Model, place: int, limit: float, name: str, batch) -> dict:
+    columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+    return columns | {name: [model.score(t) >= limit for t in batch.column(place).to_pylist()]}
 
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.3) -> DataFrame:
     """The rows of docs that score below limit, all their columns unchanged."""
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    flagged = map_batches(docs, partial(_flag, model, docs.columns.index("text"), limit), f"{ddl}, `__toxic` boolean")
-    return flagged.filter(~F.col("__toxic")).drop("__toxic")
+    name = fresh(docs.columns, "toxic")
+    flagged = map_batches(docs, partial(_flag, model, docs.columns.index("text"), limit, name), f"{ddl}, `{name}` boolean")
+    return flagged.filter(~F.col(name)).drop(name)
