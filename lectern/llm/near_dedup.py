@@ -2,16 +2,18 @@
 
 1. Each text becomes its set of hashed five-word shingles (64 bits); 120 universal
    hashes give the signature, cut into 24 bands of 5 (30 of 4 for a similarity of 0.80).
-   Documents with equal sets are one class, represented by their least id.
-2. Representatives that share a band are candidates. Pairs are never spelled out: in
-   each band the least id is compared with the rest. Where a band then holds more than one
-   component, documents that can't have a link for the shingles they alone have are put
-   aside (an exact bound), and a few pivots (4, 16, 64...) are compared with the members
-   outside their component, until a band has one component or every member has been a
-   pivot. So no candidate link is lost, and groups of near copies settle at once.
-3. A pair is first judged by its signatures (far below the limit: dropped), then
+   Documents with equal sets (equal size and two 64-bit sums of hashes; not confirmed
+   further) are one class, represented by their least id.
+2. Representatives that share a band are candidates, but pairs are not spelled out.
+   First each document is compared once, with the least of the ids that its bands hold.
+3. Documents of bands that then still hold more than one component are grouped, and each
+   is compared with its group's pivot. Two documents of a group can only be linked if
+   their differences from the pivot overlap (see _overlapping, which is exact): pairs that
+   share one of their rarest differences are compared. So the pairs grow with the links
+   and near misses, not with the square of a group, and no candidate link is lost.
+4. A pair is first judged by its signatures (far below the limit: dropped), then
    confirmed on the full sets.
-4. Components come from alternating large-star and small-star steps.
+5. Components come from alternating large-star and small-star steps.
 
 The similarity asked for sets the bands, the least of equal places and the exact bounds.
 At a similarity of exactly 0.85 (0.80) the bands miss a pair with a probability of 8e-7
@@ -31,11 +33,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import discard, map_batches, materialise
+from lectern.llm.common import Scratch, discard, map_batches, materialise
 
 SHINGLE, HASHES = 5, 120
-#: Share of 100 that the intersection must have of the union.
-SIMILARITY = 85
+#: Share of 100 that the intersection must have of the union: of the report, and of filtering stages.
+SIMILARITY, STAGE_SIMILARITY = 85, 80
 #: Probability with which the bands may miss a pair at exactly the similarity asked for.
 BAND_MISS = 1e-6
 #: Probability with which too few equal signature places may rule such a pair out.
@@ -189,15 +191,19 @@ def _confirm(similarity: int, batch) -> dict:
 
 
 def _with(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
-    """pairs(a, b) with the values(doc_id, name) of both as x and y."""
+    """pairs(a, b) with the values(doc_id, name) of both as x and y.
+
+    The value of b, which is in few pairs as a rule, is joined first and travels with the
+    pair; that of a, a hub of many pairs, is read once by each task that holds some.
+    """
     x = values.select(F.col("doc_id").alias("a"), F.col(name).alias("x"))
     y = values.select(F.col("doc_id").alias("b"), F.col(name).alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """doc_id, component (the least id reachable) for every id in links(a, b), by alternating star steps."""
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+def components(links: DataFrame, label: str = "edges") -> DataFrame:
+    """doc_id, component (the least id reachable) for every id in links(a, b), by alternating star steps; written."""
+    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), label)
     while True:
         # large star: neighbours above a node go to the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -207,14 +213,17 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        after = materialise(small, "edges")
+        after = materialise(small, label)
         change = after.withColumn("side", F.lit(1)).unionByName(edges.withColumn("side", F.lit(-1))).groupBy("u", "v").agg(F.sum("side").alias("n")).filter("n <> 0")
         settled = change.isEmpty()
         discard(edges)
         edges = after
         if settled:
             break
-    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct())
+    nodes = edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct())
+    out = materialise(nodes, "components")
+    discard(edges)
+    return out
 
 
 def restrict(df: DataFrame, ids: DataFrame, how: str = "left_semi", count: int | None = None) -> DataFrame:
@@ -224,86 +233,134 @@ def restrict(df: DataFrame, ids: DataFrame, how: str = "left_semi", count: int |
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the least id of each band with its other members."""
+    """One pair (a, b) for each document b: a is the least of the least ids of its bands."""
     least = members.groupBy("key").agg(F.min("doc_id").alias("a"))
-    return members.join(least, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    return members.join(least, "key").filter("a < doc_id").groupBy("doc_id").agg(F.min("a").alias("a")).select("a", F.col("doc_id").alias("b"))
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """members(key, doc_id, ...) with their component, of the bands that hold more than one."""
+    """members(key, doc_id) with their component, of the bands that hold more than one."""
     known = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     spread = known.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
     return known.join(spread, "key", "left_semi")
 
 
-def _shingle_rows(batch) -> dict:
-    found = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
-    ids = np.asarray(batch.column(0))
-    return {"doc_id": np.repeat(ids, [len(x) for x in found]), "shingle": np.concatenate(found)}
+def _rows(batch) -> dict:
+    """grp, found(binary) to one row for each element."""
+    found = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+    return {"grp": np.repeat(np.asarray(batch.column(0)), [len(x) for x in found]), "x": np.concatenate(found)}
 
 
-def _linkable(open_: DataFrame, docs: DataFrame, sizes: DataFrame, similarity: int) -> DataFrame:
-    """key, doc_id, n, common, i of open_ without the documents that can't have a link in the band.
+def _centrality(batch) -> dict:
+    """doc_id, grp and how much closer to the group's core than the empty set a document is; columns: doc_id, grp, found, core."""
+    score = []
+    for x, core in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        found = np.frombuffer(x, np.int64)
+        score.append(2 * int(np.isin(found, np.array(core or (), dtype=np.int64)).sum()) - len(found))
+    return {"doc_id": batch.column(0), "grp": batch.column(1), "score": score}
 
-    A shingle that one document alone has is in no intersection. With n shingles, u of
-    them its own, a document has at most n - u in common with a partner, and a partner
-    at least max(n - u, the band's least size) shingles; that bounds the similarity.
-    """
-    ids = materialise(open_.select("doc_id").distinct(), "ids")
-    rows = map_batches(restrict(docs, ids).dropDuplicates(["doc_id"]), _shingle_rows, "doc_id long, shingle long")
-    own = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).filter("doc_id = last")
-    own = own.groupBy("doc_id").agg(F.count("*").alias("u"))
-    sized = open_.join(sizes, "doc_id").join(own, "doc_id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    least = sized.groupBy("key").agg(F.min("n").alias("least"))
-    common = F.col("n") - F.col("u")
-    sized = sized.join(least, "key").filter(100 * common >= similarity * (F.greatest("least", common) + F.col("u")))
-    # small components have the larger labels as a rule; as pivots they leave one component behind
-    order = Window.partitionBy("key").orderBy(F.desc("component"), "doc_id")
-    return sized.select("key", "doc_id", "n", common.alias("common"), F.row_number().over(order).alias("i"))
-
-
-def _pivot_pairs(open_: DataFrame, pivots: int, similarity: int) -> DataFrame:
-    """Pairs (a, b) of each band's members up to number i = pivots with those after them in other components."""
-    chosen = open_.filter(F.col("i") <= pivots).select("key", *[F.col(c).alias(f"p_{c}") for c in ("doc_id", "component", "n", "common", "i")])
-    most = F.least("common", "p_common")
-    fine = (F.col("i") > F.col("p_i")) & (F.col("component") != F.col("p_component")) & (100 * most >= similarity * (F.col("n") + F.col("p_n") - most))
-    pairs = open_.join(chosen, "key").filter(fine)
-    return pairs.select(F.least("p_doc_id", "doc_id").alias("a"), F.greatest("p_doc_id", "doc_id").alias("b")).distinct()
-
-
-def _confirmed(pairs: DataFrame, first: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
+
+def _differences(similarity: int, batch) -> dict:
+    """The elements in which a set and its group's pivot differ; columns: doc_id, grp, n, component, found, pivot, core (the pivot's set)."""
+    size, core, found = batch.column(2).to_pylist(), batch.column(6).to_pylist(), batch.column(4).to_pylist()
+    diff, linked_ = [], []
+    for n, x, y in zip(size, found, core, strict=True):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        diff.append(np.setxor1d(x, y, assume_unique=True))
+        linked_.append((100 + similarity) * len(diff[-1]) <= (100 - similarity) * (n + len(y)))
+    names = ("doc_id", "grp", "n", "component", None, "pivot")
+    return {k: batch.column(i) for i, k in enumerate(names) if k} | {"d": [len(x) for x in diff], "linked": linked_, "found": [x.tobytes() for x in diff]}
+
+
+def _elements(batch) -> dict:
+    """doc_id, grp, found(binary) to one row for each element."""
+    found = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+    size = [len(x) for x in found]
+    return {"doc_id": np.repeat(np.asarray(batch.column(0)), size), "grp": np.repeat(np.asarray(batch.column(1)), size), "x": np.concatenate(found)}
+
+
+def _confirmed(pairs: DataFrame, first: DataFrame, docs: DataFrame, similarity: int, keep: Scratch) -> DataFrame:
     """The pairs(a, b) that are linked: judged by signatures, then on full sets."""
-    near = materialise(map_batches(_with(pairs, first, "sig"), partial(_alike, least_equal(similarity)), "a long, b long"), "near")
-    ids = materialise(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    near = keep(map_batches(_with(pairs, first, "sig"), partial(_alike, least_equal(similarity)), "a long, b long"), "near")
+    ids = keep(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     sets = map_batches(restrict(docs, ids).dropDuplicates(["doc_id"]), _sets, "doc_id long, found binary")
-    return materialise(map_batches(_with(near, materialise(sets, "sets"), "found"), partial(_confirm, similarity), "a long, b long"), "links")
+    return keep(map_batches(_with(near, keep(sets, "sets"), "found"), partial(_confirm, similarity), "a long, b long"), "links")
+
+
+def _pivoted(open_: DataFrame, docs: DataFrame, similarity: int, keep: Scratch) -> DataFrame:
+    """doc_id, grp, n, component, pivot, d, linked, found (the difference from the pivot's set) for each document in open bands.
+
+    A group holds all documents that open bands hold together; its pivot is the document
+    closest to its core, the shingles that most of its documents have.
+    """
+    hubs = open_.groupBy("key").agg(F.min("doc_id").alias("a"))
+    groups = keep.own(components(open_.join(hubs, "key").select("a", F.col("doc_id").alias("b")).distinct(), "groups"))
+    ids = keep(open_.select("doc_id", "component").distinct(), "ids")
+    sets = map_batches(restrict(docs, ids.select("doc_id")).dropDuplicates(["doc_id"]), _sets, "doc_id long, found binary")
+    sets = sets.join(ids, "doc_id").join(groups.withColumnRenamed("component", "grp"), "doc_id")
+    sets = keep(sets.select("doc_id", "grp", (F.octet_length("found") / 8).cast("long").alias("n"), "component", "found"), "sets")
+    counts = map_batches(sets.select("grp", "found"), _rows, "grp long, x long").groupBy("grp", "x").agg(F.count("*").alias("c"))
+    sizes = sets.groupBy("grp").agg(F.count("*").alias("m"))
+    core = counts.filter("c > 1").join(sizes, "grp").filter("2 * c > m").groupBy("grp").agg(F.collect_list("x").alias("core"))  # at most twice a set's mean size
+    scored = map_batches(sets.select("doc_id", "grp", "found").join(keep(core, "core"), "grp", "left"), _centrality, "doc_id long, grp long, score long")
+    pivots = scored.groupBy("grp").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("id"))).alias("best")).select("grp", (-F.col("best.id")).alias("pivot"))
+    pivots = keep(pivots.join(sets.select(F.col("doc_id").alias("pivot"), F.col("found").alias("core")), "pivot").select("grp", "pivot", "core"), "pivots")
+    apart = map_batches(sets.join(pivots, "grp").select("doc_id", "grp", "n", "component", "found", "pivot", "core"), partial(_differences, similarity), "doc_id long, grp long, n long, component long, pivot long, d long, linked boolean, found binary")
+    return keep(apart, "apart")
+
+
+def _overlapping(apart: DataFrame, similarity: int, keep: Scratch) -> DataFrame:
+    """Pairs (a, b) of a group that may be linked and aren't known to be in one component.
+
+    Two sets are linked if they differ in at most ``far(n, n')`` elements. They differ in
+    d + d' - 2 * (common elements of their differences from the pivot), so they need
+    ``need`` of these in common. If need <= 0, both are linked to the pivot (d + d' <= far
+    implies d <= far(n, pivot) and d' likewise). Otherwise, with the elements of each
+    difference put in one order, rarest first, the two share an element at a place up to
+    d - need and d' - need. Elements that one document alone has come first and are in
+    no overlap; u counts them.
+    """
+    rows = map_batches(apart.select("doc_id", "grp", "found"), _elements, "doc_id long, grp long, x long")
+    counts = rows.groupBy("grp", "x").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = rows.join(keep(counts, "counts"), ["grp", "x"])
+    one = Window.partitionBy("grp", "doc_id")
+    shared = shared.select("grp", "x", "doc_id", F.row_number().over(one.orderBy("c", "x")).alias("place"), F.count("*").over(one).alias("v"))
+    known = apart.select("doc_id", "n", "d", "linked", "component")
+    shared = shared.join(known, "doc_id").withColumn("place", F.col("d") - F.col("v") + F.col("place") - 1)
+
+    def far(n):
+        return F.floor((100 - similarity) * n / (100 + similarity))
+
+    # the farthest place that any partner can ask for: it has at most 100 n / similarity elements, and d' >= d - far
+    most = far(F.col("n") + F.floor(100 * F.col("n") / similarity))
+    shared = keep(shared.filter(2 * F.col("place") <= F.col("d") - F.greatest(F.lit(0), F.col("d") - most) + most), "shared")
+    p, q = (shared.select("grp", "x", *[F.col(c).alias(s + c) for c in ("doc_id", "place", "v", "n", "d", "linked", "component")]) for s in "pq")
+    need = F.ceil((F.col("pd") + F.col("qd") - far(F.col("pn") + F.col("qn"))) / 2)
+    fine = (F.col("pdoc_id") < F.col("qdoc_id")) & (F.col("pcomponent") != F.col("qcomponent")) & ~(F.col("plinked") & F.col("qlinked"))
+    fine &= (need > 0) & (need <= F.least("pv", "qv")) & (F.col("pplace") <= F.col("pd") - need) & (F.col("qplace") <= F.col("qd") - need)
+    return keep(p.join(q, ["grp", "x"]).filter(fine).select(F.col("pdoc_id").alias("a"), F.col("qdoc_id").alias("b")).distinct(), "pairs")
 
 
 def link_components(docs: DataFrame, found: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, component for representatives with links; found: sketch(docs, similarity), written."""
+    keep = Scratch()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes = found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("doc_id"))
-    first = materialise(found.select("doc_id", "n", "sig", "bands").join(classes.select("doc_id"), "doc_id", "left_semi"), "first")
+    first = keep(found.select("doc_id", "sig", "bands").join(classes.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "sig"]), "first")
     keys = first.select("doc_id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key")
-    members = materialise(keys.join(shared, "key").select("key", "doc_id").distinct(), "members")
-    links = _confirmed(materialise(_stars(members), "pairs"), first, docs, similarity)
+    members = keep(keys.join(shared, "key").select("key", "doc_id").distinct(), "members")
+    links = _confirmed(keep(_stars(members), "pairs"), first, docs, similarity, keep)
     labels = components(links)
-    open_ = materialise(_open(members, labels), "open")
-    if open_.isEmpty():
-        return labels
-    sizes = first.select("doc_id", "n").dropDuplicates(["doc_id"])
-    members = materialise(_linkable(open_, docs, sizes, similarity), "linkable")
-    done, pivots = 0, 4
-    while True:
-        open_ = materialise(_open(members.filter(F.col("i") > done), labels), "open")
-        if open_.isEmpty():
-            return labels
-        more = _confirmed(materialise(_pivot_pairs(open_, pivots, similarity), "pairs"), first, docs, similarity)
-        if not more.isEmpty():
-            links = materialise(links.unionByName(more), "links")
-            labels = components(links)
-        done, pivots = pivots, 4 * pivots
+    open_ = keep(_open(members, labels), "open")
+    if not open_.isEmpty():
+        apart = _pivoted(open_, docs, similarity, keep)
+        to_pivot = apart.filter("linked AND doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+        more = _confirmed(_overlapping(apart, similarity, keep), first, docs, similarity, keep)
+        discard(labels)
+        labels = components(links.unionByName(to_pivot).unionByName(more))
+    keep.clear()
+    return labels
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -318,7 +375,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: int = STAGE_SIMILARITY) -> DataFrame:
     """docs without the rows that are not the least id of their component; columns unchanged."""
     gone = materialise(near_duplicates(docs, similarity).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
     return restrict(docs, gone, "left_anti")

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from test_operators import near_cases, shingle_set
+from test_operators import brute_components, near_cases, shingle_set
 
 from lectern.llm import near_dedup
 
@@ -47,3 +47,29 @@ def test_few_equal_places_reach_the_full_sets():
     y[79:] = 1
     batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "x": [x.tobytes()], "y": [y.tobytes()]})
     assert near_dedup._alike(near_dedup.least_equal(85), batch) == {"a": [1], "b": [2]}
+
+
+def families():
+    """Near copies of one text with 0 to 7 words changed (similarities from 0.4 up), of copies of it, and texts with a passage in common."""
+    draw = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    other = base[:60] + [f"o{i}" for i in range(90)]
+    texts = []
+    for n in range(260):
+        words = list(base if n % 3 else other)
+        for _ in range(draw.randrange(8)):
+            words[draw.randrange(150)] = f"n{draw.randrange(40)}"
+        texts.append(" ".join(words))
+    for n in range(60):
+        texts.append(" ".join(base[20:80] + [f"p{n}x{draw.randrange(1000)}" for _ in range(draw.randrange(5, 80))]))
+    draw.shuffle(texts)
+    return texts
+
+
+def test_hot_families_equal_brute_force(docs_of):
+    texts = families()
+    for similarity in (80, 85):
+        rows = near_dedup.near_duplicates(docs_of(texts), similarity).collect()
+        expected = brute_components(dict(enumerate(texts)), similarity)
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == expected
+        assert 1 < len({c for _, c, _ in expected.values()}) < len(texts) - 50

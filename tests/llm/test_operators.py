@@ -23,7 +23,7 @@ def shingle_set(text):
     return {tuple(words)} if 0 < len(words) < 5 else {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def brute_components(texts):
+def brute_components(texts, similarity=85):
     sets, least = {i: shingle_set(t) for i, t in texts.items()}, {i: i for i in texts}
 
     def root(i):
@@ -36,7 +36,7 @@ def brute_components(texts):
         for j in ids:
             if i < j and sets[i] and sets[j]:
                 common = len(sets[i] & sets[j])
-                if 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
+                if 100 * common >= similarity * (len(sets[i]) + len(sets[j]) - common):
                     a, b = root(i), root(j)
                     least[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}

@@ -20,7 +20,7 @@ def plainly(spark):
     docs = table(spark, SF, "documents")
     model = toxicity.train(docs, table(spark, SF, "labels"))
     rows = [r for r in docs.collect() if model.score(r.text) < queries.TOXIC_FROM]
-    component = brute_components({r.doc_id: r.text for r in rows})
+    component = brute_components({r.doc_id: r.text for r in rows}, 80)  # what filtering stages take unless a contract says otherwise
     rows = [r for r in rows if component[r.doc_id][2]]
     ratios = secret_scan.train(secret_scan.training_samples(spark.createDataFrame(rows, docs.schema)))
     texts = {r.doc_id: None if r.text is None else secret_scan.redact_text(r.text, ratios, "[SECRET]") for r in rows}
