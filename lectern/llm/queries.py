@@ -16,7 +16,7 @@ TOXIC_FROM = 0.3
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secret_scan.scan(docs, secret_scan.train(secret_scan.training_samples(docs)))
+    return secret_scan.scan(docs, secret_scan.train_on(docs))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

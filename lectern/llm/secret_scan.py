@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
-One model is trained on random strings, one on ordinary identifiers. A long token
-is a secret when the first explains its character transitions much better.
+One model is trained on random strings, one on ordinary identifiers: names built from the
+words of all documents, and labelled identifiers in the usual styles of programs. A long
+token is a secret when the first explains its character transitions much better.
 
 Null text counts as empty and has no spans. Texts are scanned whole. Rows are
 independent: repeated rows and ids give repeated results, an empty table an empty
@@ -55,48 +56,121 @@ def random_strings(count: int = RANDOM_STRINGS, seed: int = 7) -> list[str]:
     return ["".join(draw.choices(alphabets[i % len(alphabets)], k=draw.randint(16, 48))) for i in range(count)]
 
 
-def _identifiers(batch) -> dict:
-    """Samples of the ordinary class: words, and names built from neighbouring words."""
-    out = []
-    for text in batch.column(0).to_pylist():
-        text = text or ""
-        for _, a, b in [(k, m.start(), m.end()) for k, r in ((0, ASSIGN), (1, ACCESS)) for m in r.finditer(text)]:
+#: Our own words of program names, for the labelled samples of ordinary identifiers.
+TERMS = """
+access account action active adapter address agent alias alert archive array asset async attribute audio author backend backup balance base batch binary block body
+bool bridge broker buffer build bundle button byte cache callback cancel category change channel char check child class clean client clone close cluster code collection
+color column command commit common compile component config connect console constant container content context control convert cookie core count create cursor custom
+daemon data database date debug decode default delete deploy detail device dialog digest direct directory disk dispatch display document domain download driver drop
+dynamic edge edit element email empty enable encode engine entity entry enum error event exception execute export expression extension external factory failure feature
+field file filter final find flag float folder footer form format frame function gateway general generate global graph grid group handle handler hash header height
+help hidden history host html http icon image implementation import index info init inner input insert instance integer interface internal invalid item iterator java
+join json kernel keyboard label language layout length level library limit line link list listener load local location lock logger login loop machine main manager map
+mapper matrix memory menu merge message metadata method metric model module monitor mouse name native navigation network node notification null number object offset open
+operation option order output owner package page panel parameter parent parse parser partition password path pattern payload pending permission plugin point policy pool
+port post prefix preview primary print private process product profile project property protocol provider proxy public query queue random range read record reference
+region register release remote remove render replace report repository request reset resource response result retry return role root route router row rule runtime sample
+scale schedule schema scope screen script scroll search section security select sequence serial server service session setting shared signal single size snapshot socket
+source spec stack stage standard start state static status storage store stream string struct style submit support switch symbol sync system table target task template
+test text thread time title token tool topic total trace transaction transfer transform trigger type unique unit update upload user utility valid value variable vector
+verify version view virtual visible wait watch web widget width window wizard worker workflow wrapper write xml yaml zone
+""".split()
+ACRONYMS = "API CSS CSV DNS FTP GPU HTML HTTP ID IO IP JDBC JSON JWT LDAP OS PDF REST RPC SDK SQL SSH SSL TCP TLS UDP UI URI URL UTF8 UUID XML YAML".split()
+IDENTIFIERS = 6000
+
+
+def ordinary_identifiers(count: int = IDENTIFIERS, seed: int = 11, terms: list[str] | None = None) -> list[str]:
+    """Labelled samples of the ordinary class: names in the usual styles, by rule from TERMS and ACRONYMS."""
+    draw, terms = random.Random(seed), terms or TERMS
+    styles = (
+        lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), lambda w: "".join(x.capitalize() for x in w), lambda w: "_".join(w), lambda w: "_".join(w).upper(), lambda w: "-".join(w), lambda w: "/".join(w),
+        lambda w: draw.choice(ACRONYMS) + "".join(x.capitalize() for x in w), lambda w: w[0] + draw.choice(ACRONYMS) + "".join(x.capitalize() for x in w[1:]), lambda w: "_".join([draw.choice(ACRONYMS), *w]),
+        lambda w: "_".join(w) + str(draw.randrange(100)), lambda w: "-".join(w) + f"-v{draw.randrange(10)}", lambda w: f"{w[0].capitalize()}/{w[0]}-{w[1]}_{draw.randrange(1000)}",
+        lambda w: f"{2000 + draw.randrange(30)}-{1 + draw.randrange(12):02d}-{1 + draw.randrange(28):02d}-{w[0]}", lambda w: "__" + "_".join(w) + "__", lambda w: "=".join(w[:2]) + "/" + draw.choice(ACRONYMS), lambda w: "".join(w),
+    )
+    return [styles[i % len(styles)]([draw.choice(terms) for _ in range(draw.randint(2, 5))]) for i in range(count)]
+
+
+NAMES = (
+    lambda a, b, c, i: a, lambda a, b, c, i: f"{a}_{b}_{c}", lambda a, b, c, i: a.lower() + b.capitalize() + c.capitalize(), lambda a, b, c, i: f"{a}-{b}{c}",
+    lambda a, b, c, i: f"{a}/{b}/{c}", lambda a, b, c, i: f"{b.upper()}_{a.upper()}", lambda a, b, c, i: f"{c}{i % 100}", lambda a, b, c, i: a + b + c,
+)
+
+
+def corpus_names(text: str | None) -> list[str]:
+    """Samples of the ordinary class: words of a text outside of fixed patterns, and names built from neighbouring words."""
+    text = text or ""
+    for r in (ASSIGN, ACCESS):
+        for a, b in [m.span() for m in r.finditer(text)] if r is ASSIGN or "AKIA" in text else ():
             text = text[:a] + " " * (b - a) + text[b:]
-        words = WORD.findall(text)
-        for i in range(0, len(words) - 2, 3):
-            a, b, c = words[i : i + 3]
-            out.append((a, f"{a}_{b}_{c}", a.lower() + b.capitalize() + c.capitalize(), f"{a}-{b}{c}", f"{a}/{b}/{c}", f"{b.upper()}_{a.upper()}", f"{c}{i % 100}", a + b + c)[i // 3 % 8])
-    return {"token": out, "random": [0] * len(out)}
+    words = WORD.findall(text)
+    return [NAMES[i // 3 % 8](*words[i : i + 3], i) for i in range(0, len(words) - 2, 3)]
+
+
+ORDINARY, RANDOM, LABELLED = 0, 1, 2
+
+
+def _names(batch) -> dict:
+    out = [name for text in batch.column(0).to_pylist() for name in corpus_names(text)]
+    return {"token": out, "random": [ORDINARY] * len(out)}
+
+
+def transition_counts(tokens: list[str]) -> np.ndarray:
+    code = _codes("".join(tokens))
+    before = np.concatenate(([N - 1], code[:-1]))
+    before[np.cumsum([0, *map(len, tokens[:-1])])] = N - 1
+    return np.bincount(before * N + code, minlength=N * N).reshape(N, N)
+
+
+def _sparse(counts: dict[int, np.ndarray]) -> dict:
+    rows = [(k, *map(int, x), int(c[x])) for k, c in counts.items() for x in zip(*np.nonzero(c), strict=True)]
+    return dict(zip(("random", "a", "b", "n"), map(list, zip(*rows, strict=True)), strict=True)) if rows else {k: [] for k in ("random", "a", "b", "n")}
 
 
 def _count(batch) -> dict:
-    counts = np.zeros((2, N, N), dtype=np.int64)
-    rows = [(token, bool(label)) for token, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if token]
-    for kind in (False, True):
-        tokens = [token for token, label in rows if label == kind]
-        if tokens:
-            code = _codes("".join(tokens))
-            before = np.concatenate(([N - 1], code[:-1]))
-            before[np.cumsum([0, *map(len, tokens[:-1])])] = N - 1
-            counts[int(kind)] = np.bincount(before * N + code, minlength=N * N).reshape(N, N)
-    label, a, b = np.nonzero(counts)
-    return {"random": label.tolist(), "a": a.tolist(), "b": b.tolist(), "n": counts[label, a, b].tolist()}
+    rows = [(token, label) for token, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if token and label is not None]
+    by = {k: [token for token, label in rows if label == k] for k in (ORDINARY, RANDOM, LABELLED)}
+    return _sparse({k: transition_counts(tokens) for k, tokens in by.items() if tokens})
+
+
+def _count_names(batch) -> dict:
+    tokens = [name for text in batch.column(0).to_pylist() for name in corpus_names(text)]
+    return _sparse({ORDINARY: transition_counts(tokens)} if tokens else {})
+
+
+COUNTED = "random int, a int, b int, n long"
+
+
+def labelled() -> dict[int, list[str]]:
+    return {RANDOM: random_strings(), LABELLED: ordinary_identifiers()}
 
 
 def training_samples(docs: DataFrame) -> DataFrame:
-    """(token, random): words of all docs(text) as 0, generated strings as 1."""
-    plain = map_batches(docs.select("text"), _identifiers, "token string, random int")
-    return plain.unionByName(docs.sparkSession.createDataFrame([(x, 1) for x in random_strings()], "token string, random int"))
+    """(token, random): names from all docs(text) as 0, generated strings as 1, generated identifiers as 2 (ordinary too)."""
+    plain = map_batches(docs.select("text"), _names, "token string, random int")
+    return plain.unionByName(docs.sparkSession.createDataFrame([(x, k) for k, tokens in labelled().items() for x in tokens], "token string, random int"))
+
+
+def _ratios_of(parts: DataFrame, more: dict[int, np.ndarray]) -> np.ndarray:
+    counts = np.full((3, N, N), 0.05)
+    for k, c in more.items():
+        counts[k] += c
+    for r in parts.groupBy("random", "a", "b").agg(F.sum("n").alias("n")).collect():  # at most 3 * N * N rows
+        counts[r.random, r.a, r.b] += r.n
+    p = counts / counts.sum(axis=2, keepdims=True)
+    # ordinary names come from the corpus and from the labelled identifiers, one as likely as the other
+    ordinary = (p[ORDINARY] + p[LABELLED]) / 2 if (counts[LABELLED] > 0.05).any() else p[ORDINARY]
+    return np.log(p[RANDOM]) - np.log(ordinary)
 
 
 def train(samples: DataFrame) -> np.ndarray:
     """Log-likelihood ratios (random against ordinary) of all transitions, from labelled samples(token, random)."""
-    parts = map_batches(samples.select("token", "random"), _count, "random int, a int, b int, n long")
-    counts = np.full((2, N, N), 0.05)
-    for r in parts.groupBy("random", "a", "b").agg(F.sum("n").alias("n")).collect():  # at most 2 * N * N rows
-        counts[r.random, r.a, r.b] += r.n
-    p = np.log(counts / counts.sum(axis=2, keepdims=True))
-    return p[1] - p[0]
+    return _ratios_of(map_batches(samples.select("token", "random"), _count, COUNTED), {})
+
+
+def train_on(docs: DataFrame) -> np.ndarray:
+    """train(training_samples(docs)), counted where the texts are read."""
+    return _ratios_of(map_batches(docs.select("text"), _count_names, COUNTED), {k: transition_counts(tokens) for k, tokens in labelled().items()})
 
 
 def log_ratio(token: str, ratios: np.ndarray) -> float:
