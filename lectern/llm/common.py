@@ -70,8 +70,19 @@ class Scratch:
         self.held = []
 
 
+#: Bytes of a record batch that a function gets at once, unless a single row has more.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch):
+    """batch in runs of rows of about PIECE_BYTES: Spark bounds batches by rows, whatever these hold."""
+    rows = max(1, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes))
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 class BatchMap:
-    """Picklable mapInArrow function: a dict of columns for each record batch."""
+    """Picklable mapInArrow function: a dict of columns for each piece of a record batch."""
 
     def __init__(self, fn: Callable, schema: T.StructType):
         self.fn, self.schema = fn, schema
@@ -79,8 +90,9 @@ class BatchMap:
     def __call__(self, batches):
         target = to_arrow_schema(self.schema)
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(self.fn(batch), schema=target)
+            for piece in pieces(batch):
+                yield pa.RecordBatch.from_pydict(self.fn(piece), schema=target)
+        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
 
 def map_batches(df: DataFrame, fn: Callable, ddl: str) -> DataFrame:

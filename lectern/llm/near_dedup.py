@@ -44,6 +44,8 @@ BAND_MISS = 1e-6
 SIGNATURE_MISS = 1e-7
 #: Sides below this many ids (8 bytes each) may be broadcast.
 BROADCAST_IDS = 1_000_000
+#: The same for classes (32 bytes each). Beyond these, joins are by key, and the adaptive planner splits hot ones.
+BROADCAST_CLASSES = 250_000
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -368,9 +370,11 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     found = materialise(sketch(docs, similarity), "sketch")
     labels = link_components(docs, found, similarity)
     rows = found.select("doc_id", "n", "h1", "h2")
-    classes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(labels.select(F.col("doc_id").alias("least"), "component"), "least", "left").select("n", "h1", "h2", F.coalesce("component", "least").alias("component"))
-    # a class of one needs no row: its component is itself unless it has a link
+    classes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    classes = classes.join(labels.select(F.col("doc_id").alias("least"), "component"), "least", "left")
+    # a class of one without a link needs no row: its component is itself
+    classes = materialise(classes.filter("rows > 1 OR component IS NOT NULL").select("n", "h1", "h2", F.coalesce("component", "least").alias("component")), "classes")
+    classes = F.broadcast(classes) if classes.count() <= BROADCAST_CLASSES else classes
     out = rows.join(classes, ["n", "h1", "h2"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import pieces
 from lectern.llm.token_ids import ids_bytes
 
 WINDOW, END_ID = 2048, 1
@@ -124,7 +125,7 @@ def _pack(tokenizer: str, window: int, batches):
     def out():
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=SCHEMA)
 
-    for batch in batches:
+    for batch in (piece for batch in batches for piece in pieces(batch)):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids = encode(text or "") + end
             total = len(ids) // 4

@@ -14,7 +14,7 @@ import re
 import struct
 
 #: Words kept by each worker; later ones are encoded anew each time.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 #: Beyond Latin letters, and for control characters, the library itself does the work.
 PLAIN = re.compile("[\t-\r -\x7e\xa1-\xac\xae-" + chr(0x24F) + "]*\\Z")
 

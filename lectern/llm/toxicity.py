@@ -31,7 +31,7 @@ WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]*[^\W\d_][^.!?\n]*[.!?]*")
 DIM = 1 << 20
 #: About this many labelled rows fit the model (see bounded_sample); features kept; cache of words for each worker.
-TRAINING_ROWS, FEATURES, CACHED_WORDS = 8000, 4096, 300_000
+TRAINING_ROWS, FEATURES, CACHED_WORDS = 8000, 4096, 100_000
 #: At most so many rewritten sentences of a labelled text enter the penalty.
 PAIRS_PER_TEXT = 4
 #: The word that names no group.
