@@ -3,131 +3,144 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.rewrite import prose, spans_column
+from lectern.functions.markdown import to_html
+from lectern.functions.rewrite import SPACE, collapse, compiled, prose_text, speak_math, speak_spans
 from lectern.operators import ordered
 
 BLOCKS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "section"}
-DROPPED = {"img", "table", "script", "style"}
+DROPPED = {"img", "table"}
 VOID = {"img", "br", "meta", "hr", "input", "link", "wbr", "area", "base", "col", "embed", "source", "track"}
+#: Tags that end an open paragraph, or an open item.
+ENDS_P = BLOCKS - {"li"} | {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "header", "hr", "main", "nav", "ol", "pre", "table", "ul"}
+NOTATION = {"eq", "eqn"}
 RUNNING_HEAD = 120
+SEGMENT = "text string, source_text string, segment_type string"
+
+
+class _Block:
+    """A block element: its pieces of text are those from first to last of the document's."""
+
+    def __init__(self, tag: str, first: int):
+        self.tag, self.first, self.last = tag, first, None
+        self.elements = self.emphasis = self.texts = self.blanks = 0
 
 
 class _Blocks(HTMLParser):
     """Blocks in document order; a block within a block is part of both."""
 
-    def __init__(self):
+    def __init__(self, speak: bool = False):
         super().__init__(convert_charrefs=True)
-        self.found: list[dict] = []
-        self.open: list[tuple[str, dict | None]] = []
-        self.dropped = 0
+        self.found: list[_Block] = []
+        self.open: list[tuple[str, _Block | None]] = []
+        self.pieces: list[str] = []
+        self.dropped, self.speak = 0, speak
 
     def handle_starttag(self, tag, attrs):
-        if tag in DROPPED and tag not in VOID:
-            self.dropped += 1
-        if self.dropped or tag in VOID:
-            if tag == "br" and not self.dropped:
-                self.handle_data("\n")
+        if tag in DROPPED:
+            self.dropped += tag not in VOID
+            return
+        if self.dropped:
             return
-        for _, block in self.open:
+        if self.open and ((self.open[-1][0] == "p" and tag in ENDS_P) or self.open[-1][0] == tag == "li"):
+            self.handle_endtag(self.open[-1][0])
+        if self.open and (parent := self.open[-1][1]) is not None:
+            parent.elements += 1
+            parent.emphasis += tag == "em"
+        if tag not in VOID:
+            block = _Block(tag, len(self.pieces)) if tag in BLOCKS else None
             if block is not None:
-                block["children"] += block["depth"] == len(self.open)
-        if tag == "p" and any(t == "p" for t, _ in self.open):  # an open paragraph ends here
-            self.handle_endtag("p")
-        block = None
-        if tag in BLOCKS:
-            block = {"tag": tag, "parts": [], "children": 0, "em": 0, "outside": "", "depth": len(self.open) + 1}
-            self.found.append(block)
-        if tag == "em" and self.open and self.open[-1][1] is not None:
-            self.open[-1][1]["em"] += 1
-        self.open.append((tag, block))
+                self.found.append(block)
+            self.open.append((tag, block))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in DROPPED and tag not in VOID:
-            self.dropped = max(0, self.dropped - 1)
+        if tag in DROPPED:
+            self.dropped = max(0, self.dropped - (tag not in VOID))
         elif not self.dropped and any(t == tag for t, _ in self.open):
-            while self.open.pop()[0] != tag:
-                pass
+            while True:
+                t, block = self.open.pop()
+                if block is not None:
+                    block.last = len(self.pieces)
+                if t == tag:
+                    break
+
+    def handle_comment(self, data):
+        if not self.dropped and self.open and self.open[-1][1] is not None:
+            self.open[-1][1].elements += 1
 
     def handle_data(self, data):
-        if self.dropped:
+        if self.dropped or not data:
             return
-        for t, block in self.open:
-            if block is not None:
-                block["parts"].append(data)
-        if self.open and self.open[-1][1] is not None:
-            self.open[-1][1]["outside"] += data
+        if self.speak and self.open and self.open[-1][0] in NOTATION:
+            data = speak_math(data, "desktop")
+        self.pieces.append(data)
+        if self.open and (block := self.open[-1][1]) is not None:
+            blank = not data.strip()
+            block.texts += not blank
+            block.blanks += blank
+
 
+def _parsed(html: str, dialect: str) -> Iterator[tuple[str, str, bool]]:
+    """(tag, raw text, whether its only child is emphasis) of every block, in order.
 
-def blocks(html: str) -> list[tuple[str, str, bool]]:
-    """(tag, raw text, whether its only child is emphasis) of every block, in order."""
-    parser = _Blocks()
+    The web dialect takes all text and passes over blank siblings; the desktop dialect joins trimmed pieces by spaces.
+    """
+    parser = _Blocks(dialect == "desktop")
     parser.feed(html)
     parser.close()
-    return [(b["tag"], "".join(b["parts"]), b["children"] == 1 and b["em"] == 1 and not b["outside"].strip()) for b in parser.found]
-
-
-def render_markdown(text: str) -> str:
-    """The block level of Markdown as HTML: headings, lists, paragraphs, emphasis; tags in the text are escaped."""
-    out, part, items = [], [], []
-
-    def inline(s: str) -> str:
-        s = s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-        s = re.sub(r"\*\*(.+?)\*\*|__(.+?)__", lambda m: f"<strong>{m[1] or m[2]}</strong>", s)
-        return re.sub(r"(?<![\w*])[*_](?=\S)(.+?)(?<=\S)[*_](?![\w*])", r"<em>\1</em>", s)
-
-    def close():
-        if items:
-            out.append("<ul>" + "".join(f"<li>{inline(x)}</li>" for x in items) + "</ul>")
-        if part:
-            out.append(f"<p>{inline(chr(10).join(part))}</p>")
-        part.clear()
-        items.clear()
-
-    for line in text.split("\n"):
-        if m := re.match(r" {0,3}(#{1,6})\s+(.*?)\s*#*\s*\Z", line):
-            close()
-            out.append(f"<h{len(m[1])}>{inline(m[2])}</h{len(m[1])}>")
-        elif (m := re.match(r" {0,3}(?:[-+*]|\d+[.)])\s+(.*)", line)) and not part:
-            items.append(m[1])
-        elif not line.strip():
-            close()
-        elif items:
-            items[-1] += "\n" + line.strip()
-        else:
-            part.append(line.strip())
-    close()
-    return "\n".join(out)
+    for b in parser.found:
+        pieces = parser.pieces[b.first : b.last]
+        raw = "".join(pieces) if dialect == "web" else " ".join(p for p in map(str.strip, pieces) if p)
+        alone = b.elements == b.emphasis == 1 and not b.texts and (dialect == "web" or not b.blanks)
+        yield b.tag, raw, alone
 
 
-def explode_blocks(docs: DataFrame, html: str = "html", markdown: bool = False) -> DataFrame:
-    """doc_id, index, tag, raw, running_head of docs(doc_id, html)."""
+def blocks(html: str, dialect: str = "web") -> list[tuple[str, str, bool]]:
+    return list(_parsed(html, dialect))
 
-    def parse(batches):
-        for pdf in batches:
-            rows = [(d, i, *b) for d, h in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True) for i, b in enumerate(blocks(render_markdown(h or "") if markdown else h or ""))]
-            out = pd.DataFrame(rows, columns=["doc_id", "index", "tag", "raw", "em"])
-            out["running_head"] = [t == "p" and e and len(r.strip()) <= RUNNING_HEAD for t, r, e in zip(out["tag"], out["raw"], out["em"], strict=True)]
-            yield out.drop(columns="em")
 
-    return docs.select("doc_id", html).mapInPandas(parse, "doc_id long, index int, tag string, raw string, running_head boolean")
+def segments_of(html: str, dialect: str = "web") -> list[tuple[int, str, str, str]]:
+    """(place, text, source_text, segment_type) of a page's blocks.
+
+    Running heads and unspeakable blocks go, looping sentences too (web); text is rewritten for speech.
+    """
+    out, web = [], dialect == "web"
+    for i, (tag, raw, alone) in enumerate(_parsed(html, dialect)):
+        if tag == "p" and alone and len(raw.strip(ordered.BLANKS)) <= RUNNING_HEAD:
+            continue
+        source = ordered.crop_repeats(collapse(raw)) if web else raw
+        text = collapse(prose_text(source, dialect), dialect)
+        if source and text and (not web or re.search("[a-zA-Z0-9]", text)):
+            out.append((i, text, source, "heading" if tag.startswith("h") else "paragraph"))
+    return out
 
 
-def to_segments(found: DataFrame, dialect: str = "web") -> DataFrame:
-    """Blocks to segments: running heads and unspeakable blocks go, looping sentences too (web), text is rewritten for speech."""
-    raw = ordered.collapsed(F.col("raw")) if dialect == "web" else ordered.trimmed(F.col("raw"))
-    d = found.filter(~F.col("running_head")).withColumn("source_text", raw).filter("source_text <> ''")
-    if dialect == "web":
-        d = d.withColumn("source_text", ordered.cropped(F.col("source_text")))
-    d = d.withColumn("segment_type", F.when(F.col("tag").startswith("h"), F.lit("heading")).otherwise("paragraph"))
-    d = d.withColumn("text", ordered.collapsed(prose(F.col("source_text"), dialect)))
-    d = d.filter(F.col("text").rlike("[a-zA-Z0-9]") if dialect == "web" else F.col("text") != "")
-    return d.select("doc_id", "index", "text", "source_text", "segment_type")
+def spoken_html(mmd: str, dialect: str = "web") -> str:
+    """Cleaned markup as HTML; notation is spoken before (web), or where the renderer finds it (desktop)."""
+    return to_html(speak_spans(mmd) if dialect == "web" else mmd, dialect)
+
+
+def explode_segments(docs: DataFrame, html: str = "html", markdown: bool = False, dialect: str = "web") -> DataFrame:
+    """doc_id, index, text, source_text, segment_type of docs(doc_id, html): one pass in Python for each document."""
+
+    def parse(batches):
+        for pdf in batches:
+            texts = (h or "" for h in pdf.iloc[:, 1])
+            rows = [(d, *s) for d, t in zip(pdf.iloc[:, 0], texts, strict=True) for s in segments_of(spoken_html(t, dialect) if markdown else t, dialect)]
+            yield pd.DataFrame(rows, columns=["doc_id", "index", "text", "source_text", "segment_type"])
+
+    return docs.select(F.col("doc_id").cast("long"), html).mapInPandas(parse, f"doc_id long, index int, {SEGMENT}")
 
 
 def clean_segments(segments: DataFrame, dialect: str = "web") -> DataFrame:
@@ -137,30 +150,50 @@ def clean_segments(segments: DataFrame, dialect: str = "web") -> DataFrame:
     return ordered.reindex(ordered.drop_bibliography(relocate_footnotes(d)))
 
 
+def preprocessed(c: Column) -> Column:
+    """Display formulas on lines of their own, no table environments, no repeated lines."""
+    return F.array_join(ordered.kept_lines(ordered.drop_tables(ordered.isolate_display(c))), "\n")
+
+
 def process_markup(docs: DataFrame, dialect: str = "web") -> DataFrame:
     """docs(doc_id, mmd) to clean segments."""
-    d = docs.select("doc_id", ordered.drop_tables(ordered.isolate_display(F.col("mmd"))).alias("text"))
-    lines = ordered.drop_repeated_lines(ordered.explode_lines(d))
-    d = ordered.rejoin(lines, "line", "pos", "\n", "mmd")
-    d = d.withColumn("mmd", spans_column(F.col("mmd"), dialect))
-    return clean_segments(to_segments(explode_blocks(d, "mmd", markdown=True), dialect), dialect)
+    return clean_segments(explode_segments(docs.select("doc_id", preprocessed(F.col("mmd")).alias("mmd")), "mmd", True, dialect), dialect)
 
 
-FOOTNOTE = re.compile(r"^\s*(?:Footnote\s+(\d+|\*)\s*:|([†‡§¶]))\s*(.*)\Z", re.S | re.I)
+def stages(docs: DataFrame) -> DataFrame:
+    """doc_id and what each step makes of docs(doc_id, mmd): preprocessed, spoken, rendered, segments (JSON), final."""
+
+    def early(batches):
+        for pdf in batches:
+            spoken = [speak_spans(x or "") for x in pdf["preprocessed"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "preprocessed": pdf["preprocessed"], "spoken": spoken, "rendered": [to_html(x) for x in spoken]})
+
+    first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), preprocessed(F.coalesce("mmd", F.lit(""))).alias("preprocessed"))
+    first = first.mapInPandas(early, "doc_id long, preprocessed string, spoken string, rendered string")
+    rows = F.array_sort(F.collect_list(F.struct("index", "text", "source_text", "segment_type")))
+    last = process_markup(docs).groupBy("doc_id").agg(rows.alias("s"))
+    last = last.select("doc_id", F.to_json(F.transform("s", lambda x: F.struct(x["text"].alias("text"), x["source_text"].alias("source_text"), x["segment_type"].alias("segment_type"), x["index"].alias("index")))).alias("segments"), F.array_join(F.transform("s", lambda x: x["text"]), "\n\n").alias("final"))
+    return first.join(last, "doc_id", "left").na.fill({"segments": "[]", "final": ""})
+
+
+# What opens a footnote; how the text refers to one by number.
+FOOTNOTE = r"^(?:footnote\s*(\d{1,3}|[*†‡§¶])?\s*[.:]\s+|([†‡§¶])\s*[.:]?\s*)"
+MENTION, GLUED = r"\bfootnote\s+{}\b", r"(?<![0-9])[a-zA-Z.,)\]”\"']{}(?=[\s.,;:!?)\]]|$)"
 
 
 def footnote(text: str) -> tuple[str, str] | None:
-    """(marker, body) if the text is a footnote."""
-    m = FOOTNOTE.match(text)
-    return (m[1] or m[2], m[3].strip()) if m else None
+    """(marker, body) if the text is a footnote; the marker may be empty."""
+    m = compiled(f"(?i){FOOTNOTE}").match(text)
+    return (m[1] or m[2] or "", text[m.end() :].strip(ordered.BLANKS)) if m else None
 
 
 def has_reference(text: str, marker: str) -> bool:
     if marker in ("", "*"):
         return False
-    if not marker.isdigit():
+    if not re.fullmatch("[0-9]+", marker):
         return marker in text
-    return bool(re.search(rf"(?i)\bfootnote\s+{marker}\b", text) or re.search(rf"(?<=[A-Za-z.,;:!?)\]\"'])(?<!\d[.,]){marker}(?![\d.]*\d)", text))
+    glued = GLUED.format(marker).replace("|$)", "|\\Z)")
+    return marker in text and bool(compiled("(?i)" + MENTION.format(marker)).search(text) or compiled(glued).search(text))
 
 
 def relocated(rows: list[tuple]) -> list[tuple]:
@@ -176,28 +209,29 @@ def relocated(rows: list[tuple]) -> list[tuple]:
         elif found[1]:
             notes.append((len(rest), *found, source))
     for place, marker, body, source in reversed(notes):
-        cited = next((i for i in range(min(place, len(rest)) - 1, -1, -1) if has_reference(rest[i][0], marker)), None)
+        cited = next((i for i in range(place - 1, -1, -1) if has_reference(rest[i][0], marker)), None)
         if cited is not None:
             at = cited + 1
         else:
             at = next((i for i in range(place, len(rest)) if rest[i][2] == "heading"), len(rest))
-        label = f" {marker}" if marker.isdigit() else ""
+        label = f" {marker}" if marker not in ("", "*") else ""
         rest.insert(at, (f"Footnote{label}: {body} End of footnote.", source, "footnote"))
     return rest
 
 
 def relocate_footnotes(segments: DataFrame) -> DataFrame:
-    """Exact relocation in documents that have a footnote; the others pass by without leaving the JVM."""
+    """Exact relocation, with a new index. Documents without a footnote don't leave the JVM; the input is read once."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("index")
-        out = relocated(list(zip(pdf["text"], pdf["source_text"], pdf["segment_type"], strict=True)))
-        return pd.DataFrame([(key[0], i, *r) for i, r in enumerate(out)], columns=["doc_id", "index", "text", "source_text", "segment_type"])
+    @F.pandas_udf(f"array<struct<{SEGMENT.replace(' string', ':string')}>>")
+    def moved(s: pd.Series) -> pd.Series:
+        return s.map(lambda rows: None if rows is None else [dict(zip(("text", "source_text", "segment_type"), r, strict=True)) for r in relocated([(x["text"], x["source_text"], x["segment_type"]) for x in rows])])
 
-    noted = segments.filter((F.col("segment_type") == "paragraph") & F.col("text").rlike(r"(?i)^\s*(?:Footnote\s+(?:\d+|\*)\s*:|[†‡§¶])")).select("doc_id").distinct()
-    moved = segments.join(noted, "doc_id", "left_semi").groupBy("doc_id").applyInPandas(one, "doc_id long, index int, text string, source_text string, segment_type string")
-    rest = segments.join(noted, "doc_id", "left_anti")
-    return rest.select("doc_id", F.col("index").cast("int").alias("index"), "text", "source_text", "segment_type").unionByName(moved)
+    noted = (F.col("segment_type") == "paragraph") & F.col("text").rlike(ordered.any_case(FOOTNOTE))
+    row = F.struct("index", "text", "source_text", "segment_type")
+    whole = segments.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max(noted).alias("noted"))
+    plain = F.transform("rows", lambda x: F.struct(x["text"].alias("text"), x["source_text"].alias("source_text"), x["segment_type"].alias("segment_type")))
+    whole = whole.select("doc_id", plain.alias("rows"), moved(F.when(F.col("noted"), plain)).alias("moved"))
+    return whole.select("doc_id", F.posexplode(F.coalesce("moved", "rows")).alias("index", "s")).select("doc_id", "index", "s.*")
 
 
 def commands(pages: DataFrame, text: str = "mmd") -> DataFrame:
@@ -227,6 +261,20 @@ def lint(pages: DataFrame, vocabulary: DataFrame, text: str = "mmd") -> DataFram
     return d.withColumn("bad", (F.col("unknown") >= 3) | ((F.col("total") >= 10) & (F.col("bad_ratio") > 0.05)))
 
 
+def lint_report(pages: DataFrame, vocabulary: DataFrame, text: str = "mmd") -> DataFrame:
+    """doc_id, page_no, report (text), json, failed: every page's unknown commands, as a report of lines and as JSON."""
+    hit = F.struct("hit", F.concat(F.lit("\\"), "command").alias("command"), F.col("at").alias("index"), "context")
+    found = unknown_commands(pages, vocabulary, text).groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(hit)).alias("unknown"))
+    total = lint(pages, vocabulary, text).select("doc_id", "page_no", "total", "bad_ratio").join(found, ["doc_id", "page_no"], "left")
+    line = lambda x: F.concat(F.lit("@"), x["index"].cast("string"), F.lit("  "), x["command"], F.lit("\n    …"), F.replace(x["context"], F.lit("\n"), F.lit(" ")), F.lit("…\n"))
+    count = F.size(F.coalesce("unknown", F.array().cast(found.schema["unknown"].dataType)))
+    summary = F.format_string("\n%d unknown of %d control sequences (%.1f%% bad)", count, F.col("total"), F.col("bad_ratio") * 100)
+    unknown = F.transform(F.coalesce("unknown", F.array().cast(found.schema["unknown"].dataType)), lambda x: F.struct(x["command"].alias("command"), x["index"].alias("index"), x["context"].alias("context")))
+    as_json = F.to_json(F.struct(F.col("total").alias("totalCommands"), unknown.alias("unknown")))
+    report = F.concat(F.coalesce(F.array_join(F.transform("unknown", line), ""), F.lit("")), summary)
+    return total.select("doc_id", "page_no", report.alias("report"), as_json.alias("json"), (count > 0).alias("failed"))
+
+
 def lint_documents(pages: DataFrame) -> DataFrame:
     """lint() rolled up: unknown, total and the list of bad pages of each document."""
     bad = F.array_sort(F.collect_list(F.when(F.col("bad"), F.col("page_no"))))

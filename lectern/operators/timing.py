@@ -13,17 +13,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.rewrite import compiled
+
 TICKS = 10_000  # 100 ns in a millisecond
 
 
+def whole(c: Column, unit: int) -> Column:
+    """c divided by unit, rounded down, in whole numbers throughout."""
+    return F.call_function("div", c - F.pmod(c, F.lit(unit)), F.lit(unit)).cast("long")
+
+
 def to_ms(ticks: Column) -> Column:
-    return F.floor(ticks / F.lit(TICKS)).cast("long")
+    return whole(ticks, TICKS)
 
 
 def vtt_time(ticks: Column) -> Column:
     """HH:MM:SS.mmm"""
     ms = to_ms(ticks)
-    return F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
+    return F.format_string("%02d:%02d:%02d.%03d", whole(ms, 3_600_000), whole(ms, 60_000) % 60, whole(ms, 1000) % 60, ms % 1000)
 
 
 def full_text(segments: DataFrame) -> DataFrame:
@@ -115,24 +122,80 @@ def scaled(boxes: DataFrame, width: float, height: float, pad: float = 2.0) -> D
     )
 
 
+#: Where on the screen a word may be before the view moves, and where it is moved to, as shares of the view's height.
+BAND_TOP, BAND_END, BAND_GOAL = 0.15, 0.70, 0.35
+
+
+def scroll_to(top: Column, view_top: Column, view_height: Column) -> Column:
+    """The new top of a view that has a word at top, or null where it needn't move."""
+    outside = (top < view_top + BAND_TOP * view_height) | (top > view_top + BAND_END * view_height)
+    return F.when(outside, top - BAND_GOAL * view_height)
+
+
+def segment_starts(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """asked(doc_id, segment_index) with start_ms: the segment's start, 0 if it has none."""
+    first = spans.groupBy("doc_id", "segment_index").agg(F.min("start_ms").alias("start_ms"))
+    return asked.join(first, ["doc_id", "segment_index"], "left").withColumn("start_ms", F.coalesce("start_ms", F.lit(0).cast("long")))
+
+
+def reading_context(asked: DataFrame, words: DataFrame, segments: DataFrame, aligned: DataFrame) -> DataFrame:
+    """asked(doc_id, pos) with word, segment_text, time_ms, page of the active word; nulls where there is none (pos -1)."""
+    w = words.select("doc_id", "pos", F.col("text").alias("word"), F.col("start_ms").alias("time_ms"), "segment_index")
+    s = segments.select("doc_id", F.col("index").alias("segment_index"), F.col("source_text").alias("segment_text"))
+    d = asked.join(w, ["doc_id", "pos"], "left").join(s, ["doc_id", "segment_index"], "left").join(aligned.select("doc_id", "pos", "page"), ["doc_id", "pos"], "left")
+    return d.select("doc_id", "pos", "word", "segment_text", "time_ms", "page")
+
+
+# Names of natural-sounding voices.
+NATURAL = "natural|enhanced|premium|samantha|aria|jenny"
+
+
+def rank_voices(voices: DataFrame) -> DataFrame:
+    """place, name, lang, local, chosen of voices(pos, name, lang, local): English ones if there are any, local ones first.
+
+    Chosen is the first natural-sounding local voice, else the first. A list of voices is short: it is ordered in one task.
+    """
+    english = F.coalesce(F.lower("lang").startswith("en"), F.lit(False))
+    every = Window.partitionBy(F.lit(0))
+    d = voices.withColumn("_e", english).withColumn("_any", F.max("_e").over(every)).filter(F.col("_e") | ~F.col("_any"))
+    natural = F.col("local") & F.lower("name").rlike(NATURAL)
+    order = every.orderBy(F.desc("local"), "pos")
+    d = d.withColumn("place", F.row_number().over(order) - 1).withColumn("_best", F.min(F.when(natural, F.col("place"))).over(every))
+    return d.select("place", "name", "lang", "local", (F.col("place") == F.coalesce("_best", F.lit(0))).alias("chosen"))
+
+
 def page_at(middles: DataFrame, pages: DataFrame) -> DataFrame:
     """The page that holds a scroll position: middles(doc_id, time) against pages(doc_id, top, height, page)."""
     found = as_of(middles, pages.select("doc_id", F.col("top").alias("time"), "page", (F.col("top") + F.col("height")).alias("end")), "time", ["page", "end"])
     return found.withColumn("page", F.when(F.col("time") < F.col("end"), F.col("page"))).drop("end")
 
 
+def pieces(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each sentence: a run without . ! ?, then some of these, then white space or the end.
+
+    A run whose stops have no white space after them is in no sentence; the text is one piece if it has none.
+    """
+    out, at = [], 0
+    while at < len(text):
+        m = re.compile(r"([^.!?]*)([.!?]*)").match(text, at)
+        end, blank = m.end(), compiled(r"\s*").match(text, m.end()).end()
+        if m[1] and (end == len(text) or (m[2] and blank > end)):
+            out.append((at, blank))
+            end = blank
+        at = end
+    return out or ([(0, len(text))] if text else [])
+
+
 def speech_chunks(text: str, most: int = 220) -> list[tuple[str, int]]:
     """(chunk, offset): sentences, longer ones cut at the last space within the limit, else hard."""
     out = []
-    for m in re.finditer(r"[^.!?]*[.!?]+\s*|[^.!?]+\Z", text):
-        piece, at = m[0], m.start()
-        while len(piece) > most:
-            cut = piece.rfind(" ", 0, most + 1)
-            cut = cut if cut > 0 else most
-            out.append((piece[:cut], at))
-            piece, at = piece[cut:], at + cut
-        if piece.strip():
-            out.append((piece, at))
+    for at, end in pieces(text):
+        while end - at > most:
+            space = text.rfind(" ", at + 1, at + most + 1)
+            cut = space if space > at else at + most
+            out.append((text[at:cut], at))
+            at = cut
+        out.append((text[at:end], at))
     return out
 
 
@@ -153,11 +216,22 @@ def word_at_char(lookups: DataFrame, words: DataFrame) -> DataFrame:
     return found.withColumn("pos", F.when(F.col("char_at") < F.col("end"), F.col("pos"))).drop("end")
 
 
-# Symbols read by name before letters are compared.
+# Symbols by the names that they are matched by; the windows of the search.
 SYMBOLS = {
-    "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ϵ": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta", "λ": "lambda", "μ": "mu", "ν": "nu",
-    "ξ": "ksi", "π": "pi", "ρ": "rho", "σ": "sigma", "τ": "tau", "φ": "phi", "χ": "chi", "ψ": "psi", "ω": "omega", "∞": "infinity", "∑": "summation", "∫": "integral",
-    "+": "plus", "=": "equals", "−": "minus", "≤": "less", "≥": "greater", "∈": "in", "×": "times",
+    "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon",
+    "ϵ": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta", "ϑ": "theta",
+    "ι": "iota", "κ": "kappa", "λ": "lambda", "μ": "mu", "ν": "nu",
+    "ξ": "xi", "π": "pi", "ρ": "rho", "σ": "sigma", "τ": "tau",
+    "υ": "upsilon", "φ": "phi", "ϕ": "phi", "χ": "chi", "ψ": "psi",
+    "ω": "omega",
+    "Γ": "gamma", "Δ": "delta", "Θ": "theta", "Λ": "lambda", "Ξ": "xi",
+    "Π": "pi", "Σ": "sigma", "Φ": "phi", "Ψ": "psi", "Ω": "omega",
+    "∇": "nabla", "∂": "partial", "∑": "sum", "∏": "product",
+    "∫": "integral", "∞": "infinity", "√": "sqrt", "≈": "approximately",
+    "≤": "lessthanorequal", "≥": "greaterthanorequal", "≠": "notequal",
+    "±": "plusorminus", "×": "times", "·": "dot", "∈": "in",
+    "→": "to", "↦": "mapsto", "⊂": "subset", "⊆": "subset",
+    "∀": "forall", "∃": "thereexists", "ℓ": "ell", "°": "degrees",
 }
 WINDOW, SHORT_WINDOW, LOST_WINDOW, LOST_AFTER = 40, 4, 200, 6
 
@@ -173,8 +247,21 @@ def alike(a: str, b: str) -> bool:
 
 
 def align(spoken: list[str], printed: list[str]) -> list[int | None]:
-    """The place in printed of each spoken word, walking forward only."""
+    """The place in printed of each spoken word, walking forward only.
+
+    A word meets a printed one, or one that a hyphen has split in two; words without letters or digits are passed over.
+    """
     shown = [(i, n) for i, w in enumerate(printed) if (n := normalised(w))]
+    whole_of: dict[int, str] = {}
+
+    def joined(j: int) -> str:
+        """The word that place j of shown starts with a hyphen at its end, or nothing."""
+        if j not in whole_of:
+            first = printed[shown[j][0]]
+            split = j + 1 < len(shown) and first.endswith("-")
+            whole_of[j] = normalised(first[:-1] + printed[shown[j + 1][0]]) if split else ""
+        return whole_of[j]
+
     out: list[int | None] = []
     at, misses = 0, 0
     for token in spoken:
@@ -182,12 +269,12 @@ def align(spoken: list[str], printed: list[str]) -> list[int | None]:
         if not want:
             out.append(None)
             continue
-        reach = SHORT_WINDOW if len(want) < 3 else LOST_WINDOW if misses >= LOST_AFTER and len(want) >= 5 else WINDOW
+        reach = LOST_WINDOW if misses >= LOST_AFTER and len(want) >= 5 else SHORT_WINDOW if len(want) < 3 else WINDOW
         for j in range(at, min(at + reach, len(shown))):
-            joined = j + 1 < len(shown) and printed[shown[j][0]].endswith("-") and shown[j][1] + shown[j + 1][1] == want
-            if joined or alike(want, shown[j][1]):
+            used = 1 if alike(want, shown[j][1]) else 2 if joined(j) and alike(want, joined(j)) else 0
+            if used:
                 out.append(shown[j][0])
-                at, misses = j + (2 if joined else 1), 0
+                at, misses = j + used, 0
                 break
         else:
             out.append(None)
