@@ -21,6 +21,7 @@ import struct
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
@@ -84,17 +85,21 @@ def fill_patterns(counts: dict[int, int], window: int = WINDOW):
         yield used, times
 
 
-def pack_block(remainders: list[tuple], next_id: int, window: int = WINDOW) -> tuple[list[tuple], int]:
-    """(doc_id, start, ids, doc_tokens) to rows of COLUMNS; ids as 4-byte little-endian bytes."""
+def pack_block(remainders: list[tuple], window: int = WINDOW) -> Iterator[list[tuple]]:
+    """Windows, each a list of pieces (doc_id, start, ids, doc_tokens), of remainders alike; ids as 4-byte little-endian bytes."""
     by_length: dict[int, list] = defaultdict(list)
-    for x in remainders:
+    while remainders:
+        x = remainders.pop()
         by_length[len(x[2]) // 4].append(x)
-    full, short = [], []
+    short = []
     for used, times in fill_patterns({k: len(v) for k, v in by_length.items()}, window):
         exact = sum(k * n for k, n in used.items()) == window
         for _ in range(times):
             pieces = [by_length[k].pop() for k, n in sorted(used.items(), reverse=True) for _ in range(n)]
-            (full if exact else short).append(pieces)
+            if exact:
+                yield pieces
+            else:
+                short.append(pieces)
     # windows with slack are run together and cut at window boundaries
     open_, room = [], window
     for pieces in short:
@@ -104,49 +109,55 @@ def pack_block(remainders: list[tuple], next_id: int, window: int = WINDOW) -> t
                 open_.append((doc, start, head, total))
                 start, room = start + len(head) // 4, room - len(head) // 4
                 if not room:
-                    full.append(open_)
+                    yield open_
                     open_, room = [], window
-    rows = []
-    for pieces in [*full, *([open_] if open_ else [])]:
-        offset = 0
-        for doc, start, ids, total in pieces:
-            rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, next_id, offset))
-            offset += len(ids) // 4
-        next_id += 1
-    return rows, next_id
+    if open_:
+        yield open_
 
 
-def _pack(tokenizer: str, window: int, batches):
+def _windows(tokenizer: str, window: int, batches) -> Iterator[list[tuple]]:
+    """All windows of a partition: those cut off the documents' fronts as they are read, the rest by blocks."""
     encode, end = ids_bytes(tokenizer), struct.pack("<I", END_ID)
-    context = TaskContext.get()
-    next_id = (context.partitionId() if context else 0) << 33
-    held, size, rows = [], 0, []
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=SCHEMA)
-
+    held, size = [], 0
     for batch in (piece for batch in batches for piece in pieces(batch)):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids = encode(text or "") + end
             total = len(ids) // 4
             whole = total - total % window
             for start in range(0, whole, window):
-                rows.append((doc, start, window, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + window)]), total, next_id, 0))
-                next_id += 1
+                yield [(doc, start, memoryview(ids)[4 * start : 4 * (start + window)], total)]
             if whole < total:
                 held.append((doc, whole, ids[4 * whole :], total))
                 size += total - whole
             if size >= BLOCK_TOKENS:
-                more, next_id = pack_block(held, next_id, window)
-                rows += more
+                yield from pack_block(held, window)
                 held, size = [], 0
-            if len(rows) >= 50_000:
-                yield out()
-                rows = []
-    more, next_id = pack_block(held, next_id, window)
-    rows += more
+    yield from pack_block(held, window)
+
+
+#: Rows of a result batch.
+BATCH_ROWS = 5000
+
+
+def _pack(tokenizer: str, window: int, batches):
+    context = TaskContext.get()
+    next_id, rows = (context.partitionId() if context else 0) << 33, []
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=SCHEMA)
+
+    for found in _windows(tokenizer, window, batches):
+        offset = 0
+        for doc, start, ids, total in found:
+            rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, next_id, offset))
+            offset += len(ids) // 4
+        next_id += 1
+        if len(rows) >= BATCH_ROWS:
+            yield out()
+            rows = []
     if rows:
         yield out()
+    pa.default_memory_pool().release_unused()
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:

@@ -9,6 +9,7 @@ Python integers.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
@@ -37,18 +38,28 @@ class _Words(dict):
         return found
 
 
+def _member(raw: str, name: str) -> list:
+    """A list of a JSON object, without reading the vocabulary beside it."""
+    at = raw.find(f'"{name}"')
+    return json.JSONDecoder().raw_decode(raw, raw.index("[", at))[0] if at >= 0 else []
+
+
 @functools.lru_cache(maxsize=2)
 def ids_bytes(path: str):
     """A function from text to its ids as bytes, equal to the library's encode(text, add_special_tokens=False)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    special = {t.content: struct.pack("<I", i) for i, t in library.get_added_tokens_decoder().items()}
+    with open(path, encoding="utf-8") as f:
+        special = {t["content"]: struct.pack("<I", t["id"]) for t in _member(f.read(), "added_tokens")}
     splitter = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
+    @functools.cache
+    def library():  # loaded when a text needs it: it takes more memory than all else here
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
     def whole(text: str) -> bytes:
-        ids = library.encode(text, add_special_tokens=False).ids
+        ids = library().encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def part(text: str) -> bytes:
