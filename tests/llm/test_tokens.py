@@ -128,3 +128,50 @@ def test_fill_patterns_use_up_all_counts():
         for k, n in used.items():
             total[k] += n * times
     assert total == counts and len(patterns) < 30
+
+
+def test_counts_of_made_up_words_equal_the_librarys():
+    import random
+
+    library, machine, draw = Tokenizer.from_file(WORD), token_count.transducer(WORD), random.Random(6)
+    tokens = sorted(t.removesuffix("</w>") for t in machine.merges.tokens if t.isascii())
+    for i in range(6000):
+        text = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz'!.-\u00e90 \u00f1\u65e5", k=draw.randrange(1, 26)) if i % 2 else draw.choices(tokens, k=draw.randrange(1, 7)))
+        assert machine.count(text) == len(library.encode(text, add_special_tokens=False).ids), text
+
+
+def test_chunk_maps_compose_in_any_grouping():
+    machine = token_count.transducer(WORD)
+    text = machine.normalised("One don't'll stop. " + "x" * 50 + "\u65e5\u672c 12ab'rest " * 3)
+    whole = machine.chunk(text).at(machine.start)
+    for size in (1, 2, 5, 11):
+        maps = [machine.chunk(text[i : i + size]) for i in range(0, len(text), size)]
+        left = maps[0]
+        for m in maps[1:]:
+            left = left.then(m)
+        right = maps[-1]
+        for m in reversed(maps[:-1]):
+            right = m.then(right)
+        for found in (left, right, machine.scan(maps)):
+            state, total = found.at(machine.start)
+            assert state is whole[0] and total == whole[1]
+    # a chunk's map holds for any state before it
+    for before in ("ab", "'", "12", "!?"):
+        state, total = machine.walk(before)
+        after, more = machine.chunk(text).at(state)
+        assert total + more + after.last == machine.count(before + text)
+
+
+def test_transitions_carry_the_counts():
+    machine = token_count.Transducer(WORD)
+    for text in ("hello", "don't", "it'll", "3.14!", "a-b"):
+        state, total, path = machine.start, 0, []
+        for c in text:
+            state, n = state[c]
+            total += n
+            path.append(n)
+        assert total + state.last == len(LIBRARY_WORD.encode(text, add_special_tokens=False).ids) and len(path) == len(text)
+    assert machine.step(machine.start, " ") == (machine.start, 0)
+
+
+LIBRARY_WORD = Tokenizer.from_file(WORD)
