@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -12,31 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lectern.sources.folders import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is absent (tests in one JVM), a temporary folder takes its
-    place; on any other master that would not be shared, so it is an error.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = getattr(context, "_lectern_dir", None) or tempfile.mkdtemp(prefix="lectern-")
-        context._lectern_dir = base
-    return f"{base.rstrip('/')}/lectern-{label}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = shared_dir(spark, label)
+    path = shared_folder(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lectern_path = path
@@ -81,6 +66,14 @@ def pieces(batch: pa.RecordBatch):
         yield batch.slice(i, rows)
 
 
+def release() -> None:
+    """Gives memory that a finished task has freed back to the system: the worker lives on for other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class BatchMap:
     """Picklable mapInArrow function: a dict of columns for each piece of a record batch."""
 
@@ -92,7 +85,7 @@ class BatchMap:
         for batch in batches:
             for piece in pieces(batch):
                 yield pa.RecordBatch.from_pydict(self.fn(piece), schema=target)
-        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
+        release()
 
 
 def map_batches(df: DataFrame, fn: Callable, ddl: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import pieces
+from lectern.llm.common import pieces, release
 from lectern.llm.token_ids import ids_bytes
 
 WINDOW, END_ID = 2048, 1
@@ -157,7 +157,7 @@ def _pack(tokenizer: str, window: int, batches):
             rows = []
     if rows:
         yield out()
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
