@@ -2,10 +2,12 @@
 
 Images decode to numpy arrays, are area-resized through integral images, and yield
 NPY tiles and difference hashes. ``text_media`` stores any text losslessly as an
-8-bit grey image 64 samples wide and reads it back.
+8-bit grey image 64 samples wide in a binary column of a written table, and reads that
+back.
 
-Null text counts as empty and gives one row of zero samples; undecodable images
-give null tiles and hashes. Rows are independent; other columns are ignored.
+Null text counts as empty and gives one row of zero samples; null, undecodable and empty
+images (no rows or columns) give null tiles and hashes. Rows are independent, repeated ones
+alike; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_batches
+from lectern.llm.common import map_batches, materialise
 
 WIDTH, TILE = 64, 16
 HEADER = re.compile(rb"(P[1-6])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:(?:\s|#[^\n]*\n)+(\d+))?")
@@ -53,6 +55,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         m = HEADER.match(data)
         kind, width, height, top = m[1], int(m[2]), int(m[3]), int(m[4])
         end = m.end() + 1
+    if not 1 <= top <= 65535:
+        raise ValueError("no such range of samples")
     depth = 3 if kind in (b"P3", b"P6") else 1
     count = width * height * depth
     if kind == b"P4":
@@ -139,16 +143,20 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _store, "doc_id long, n_bytes long, media binary")
 
 
+#: What broken or empty images raise on the way.
+UNDECODABLE = (ArithmeticError, AttributeError, IndexError, TypeError, ValueError, struct.error)
+
+
 def _features(side: int, batch) -> dict:
     out: dict = {"tile": [], "dhash": []}
     for data in batch.column(1).to_pylist():
         try:
             image = decode(data)
-            out["tile"].append(npy_tile(image, side))
-            out["dhash"].append(difference_hash(image))
-        except (AttributeError, TypeError, ValueError, struct.error, IndexError):
-            out["tile"].append(None)
-            out["dhash"].append(None)
+            tile, dhash = npy_tile(image, side), difference_hash(image)
+        except UNDECODABLE:
+            tile = dhash = None
+        out["tile"].append(tile)
+        out["dhash"].append(dhash)
     return {"id": batch.column(0)} | out
 
 
@@ -170,6 +178,6 @@ def _digest(batch) -> dict:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Each text stored, read back and described; feature is the difference hash and the crc32 of the NPY tile. No shuffle."""
+    """Each text stored in a written table, read back and described; feature is the difference hash and the crc32 of the NPY tile. No shuffle."""
     ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_batches(store_texts(docs), _digest, ddl)
+    return map_batches(materialise(store_texts(docs), "media"), _digest, ddl)
