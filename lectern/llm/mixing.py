@@ -13,7 +13,11 @@ all tokens) sources above theirs are cut.
 
 Tokens are estimated as a quarter of the UTF-8 bytes, rounded up. Null sources are a
 source of their own; sources without any token are kept once. Null ids go to one block.
-Rows that repeat an id are mixed alike. An empty table gives an empty result.
+Rows that repeat an id are mixed alike. Columns of docs keep their names, whatever these
+are. An empty table gives an empty result.
+
+The exponent is found in one row that holds the distinct token totals of the sources and
+how many sources have each; there are at most sqrt(2 * tokens) of these.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise
+from lectern.llm.common import fresh, materialise
 
 #: Tokens of a block: at least LEAST_BLOCK, and so many that all sources have at most BLOCKS between them
 #: besides FINE for each source.
@@ -40,18 +44,19 @@ def source_key(source: str = "source") -> Column:
 
 
 def power_sum(shares: Column, a: Column) -> Column:
-    return F.aggregate(shares, F.lit(0.0), lambda z, x: z + F.pow(x, a))
+    """shares: (p, n), a share and the number of sources that have it, in order of p."""
+    return F.aggregate(shares, F.lit(0.0), lambda z, x: z + x["n"] * F.pow(x["p"], a))
 
 
 def entropy(shares: Column, a: Column) -> Column:
     """Of the weights p**a / sum(p**a), in nats."""
     z = power_sum(shares, a)
-    return F.log(z) - a * F.aggregate(shares, F.lit(0.0), lambda s, x: s + F.pow(x, a) * F.log(x)) / z
+    return F.log(z) - a * F.aggregate(shares, F.lit(0.0), lambda s, x: s + x["n"] * F.pow(x["p"], a) * F.log(x["p"])) / z
 
 
 def repetition(shares: Column, a: Column, budget: float | None) -> Column:
     """How often the most repeated source is read."""
-    least, most = F.array_min(shares), F.array_max(shares)
+    least, most = shares[0]["p"], F.element_at(shares, -1)["p"]
     return F.pow(most / least, F.lit(1.0) - a) if budget is None else F.lit(budget) * F.pow(least, a - 1) / power_sum(shares, a)
 
 
@@ -73,19 +78,20 @@ def exponent(shares: Column, max_repeats: float | None, target_entropy: float |
     if max_repeats is not None:
         found.append(bisected(lambda a: repetition(shares, a, budget) <= max_repeats))
     if target_entropy is not None:
-        found.append(bisected(lambda a: entropy(shares, a) <= target_entropy * F.log(F.size(shares))))
+        sources = F.aggregate(shares, F.lit(0).cast("long"), lambda n, x: n + x["n"])
+        found.append(bisected(lambda a: entropy(shares, a) <= target_entropy * F.log(sources)))
     return F.greatest(*found) if len(found) > 1 else found[0] if found else F.lit(1.0)
 
 
 def source_weights(totals: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None) -> DataFrame:
     """key, total, weight, epochs (how often the source is read), blocks of totals(key, total); sources without tokens have no row."""
     some = totals.filter("total > 0")
-    every = some.agg(F.sort_array(F.collect_list("total")).alias("t"), F.sum("total").alias("tokens"))  # a number for each source
-    every = every.withColumn("p", F.transform("t", lambda x: x / F.col("tokens")))
+    every = some.groupBy("total").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("total", "n"))).alias("t"), F.sum(F.col("total") * F.col("n")).alias("tokens"))
+    every = every.withColumn("p", F.transform("t", lambda x: F.struct((x["total"] / F.col("tokens")).alias("p"), x["n"].alias("n"))))
     every = every.withColumn("a", exponent(F.col("p"), max_repeats, target_entropy, budget))
     every = every.withColumn("z", power_sum(F.col("p"), F.col("a")))
-    every = every.withColumn("lowest", F.array_min(F.transform("p", lambda x: F.pow(x, F.col("a") - 1))))
-    every = every.select(F.explode(F.array_distinct("t")).alias("total"), "tokens", "a", "z", "lowest")
+    every = every.withColumn("lowest", F.pow(F.element_at("p", -1)["p"], F.col("a") - 1))  # a is at most 1: the largest share is read least
+    every = every.select(F.explode(F.transform("t", lambda x: x["total"])).alias("total"), "tokens", "a", "z", "lowest")
     share = F.col("total") / F.col("tokens")
     scale = F.pow(share, F.col("a") - 1)
     out = every.select(
@@ -128,25 +134,28 @@ def plan(docs: DataFrame, **parameters) -> tuple[DataFrame, DataFrame, int, int]
     return weights, order, sources, order.count()
 
 
-def mixed(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None) -> DataFrame:
-    """The rows of docs as often as they are read, with __epoch, __block and __block_rank."""
+def mixed(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None) -> tuple[DataFrame, list[str]]:
+    """The rows of docs as often as they are read, with three columns more, and their names: epoch, block and block_rank."""
     weights, order, sources, rows = plan(docs, max_repeats=max_repeats, target_entropy=target_entropy, budget=budget)
-    weights = weights.select(F.col("key").alias("__key"), F.col("blocks").alias("__blocks"))
-    order = order.select(F.col("key").alias("__key"), F.col("block").alias("__block"), F.col("epoch").alias("__epoch"), F.col("block_rank").alias("__block_rank"))
-    out = docs.withColumn("__key", source_key()).join(small(weights, sources), "__key", "left")
-    out = out.withColumn("__block", block_of("doc_id", F.col("__blocks"))).join(small(order, rows), ["__key", "__block"], "left")
-    return out.filter(F.col("__epoch").isNotNull() | F.col("__blocks").isNull()).drop("__key", "__blocks")
+    key, blocks, block, epoch, rank = (fresh(docs.columns, f"__{x}") for x in ("key", "blocks", "block", "epoch", "rank"))
+    weights = weights.select(F.col("key").alias(key), F.col("blocks").alias(blocks))
+    order = order.select(F.col("key").alias(key), F.col("block").alias(block), F.col("epoch").alias(epoch), F.col("block_rank").alias(rank))
+    out = docs.withColumn(key, source_key()).join(small(weights, sources), key, "left")
+    # sources without tokens have no block: theirs are no block's numbers, spread over many keys
+    out = out.withColumn(block, F.coalesce(block_of("doc_id", F.col(blocks)), F.lit(-1).cast("long") - F.pmod(F.xxhash64("doc_id"), F.lit(4096))))
+    out = out.join(small(order, rows), [key, block], "left")
+    return out.filter(F.col(epoch).isNotNull() | F.col(blocks).isNull()).drop(key, blocks), [epoch, block, rank]
 
 
 def mixing_report(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, source, tokens, epoch, block, block_rank: one row for each time that a row of docs is read."""
-    out = mixed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")), **parameters)
+    out, (epoch, block, rank) = mixed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")), **parameters)
     return out.select(
-        "doc_id", "source", token_estimate().alias("tokens"), F.coalesce("__epoch", F.lit(0)).cast("long").alias("epoch"),
-        F.coalesce("__block", F.lit(0)).cast("long").alias("block"), F.coalesce("__block_rank", F.lit(0)).cast("long").alias("block_rank"),
+        "doc_id", "source", token_estimate().alias("tokens"), F.coalesce(epoch, F.lit(0)).cast("long").alias("epoch"),
+        F.greatest(F.col(block), F.lit(0)).cast("long").alias("block"), F.coalesce(rank, F.lit(0)).cast("long").alias("block_rank"),
     )
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
     """docs with rows repeated (or cut, given a budget) to the target weights; columns unchanged."""
-    return mixed(docs, **parameters).select(*docs.columns)
+    return mixed(docs, **parameters)[0].select(*docs.columns)
