@@ -6,8 +6,9 @@ bit sets (one bit for each reachable fill) picks the multiset of remaining
 lengths that comes closest to a window, and the counts are found by walking back
 through the stored bit sets. The pattern is used as often as the counts allow, so
 a block needs at most one program for each distinct length. Where the closest fill
-leaves slack, the next remainder is cut to close it; only the last window of a
-block is padded.
+leaves slack, the next remainder is cut to close it; what a block has left for its last
+window is cut into sequences of powers of two, which need no padding. So nothing is
+padded, however many partitions and blocks there are.
 
 Blocks are runs of rows of one input partition, closed at BLOCK_TOKENS of held
 remainders, so that memory is bounded whatever the partition holds and nothing is
@@ -111,8 +112,22 @@ def pack_block(remainders: list[tuple], window: int = WINDOW) -> Iterator[list[t
                 if not room:
                     yield open_
                     open_, room = [], window
-    if open_:
-        yield open_
+    yield from halves(open_)
+
+
+def halves(pieces: list[tuple]) -> Iterator[list[tuple]]:
+    """A window that isn't full, as sequences whose lengths are powers of two, the largest first."""
+    left = sum(len(ids) // 4 for _, _, ids, _ in pieces)
+    part, room = [], 1 << (left.bit_length() - 1) if left else 0
+    for doc, start, ids, total in pieces:
+        while ids:
+            head, ids = ids[: 4 * room], ids[4 * room :]
+            part.append((doc, start, head, total))
+            n = len(head) // 4
+            start, room, left = start + n, room - n, left - n
+            if not room:
+                yield part
+                part, room = [], 1 << (left.bit_length() - 1) if left else 0
 
 
 def _windows(tokenizer: str, window: int, batches) -> Iterator[list[tuple]]:

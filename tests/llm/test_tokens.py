@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lectern.llm import packing, token_count, token_ids
@@ -175,3 +176,18 @@ def test_transitions_carry_the_counts():
 
 
 LIBRARY_WORD = Tokenizer.from_file(WORD)
+
+
+def test_no_padding_in_any_partitioning(spark, docs_of):
+    texts = dict(enumerate([None, "", "one two", "three " * 5000, *corpus(150)]))
+    for parts in (1, 7, 200):
+        docs = docs_of(list(texts.values())).withColumn("start", F.lit("x")).withColumn("OFFSET", F.lit(1)).repartition(parts)
+        rows = packing.pack(docs, BYTE).collect()
+        assert check_pieces(rows, texts)[0] == 0 and len({r.sequence_id for r in rows}) < len(rows)
+
+
+def test_repeated_rows_are_packed_as_often(docs_of):
+    docs = docs_of(["one two three", "word " * 2500])
+    rows = packing.pack(docs.unionByName(docs).coalesce(1), BYTE).collect()
+    covered = collections.Counter((r.doc_id, p) for r in rows for p in range(r.start, r.start + r.length))
+    assert set(covered.values()) == {2} and {r.doc_tokens for r in rows if r.doc_id == 0} == {4}
