@@ -16,7 +16,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Thresholds of the layout, as multiples of the body size unless named otherwise.
@@ -462,6 +462,13 @@ def extract_pages(glyphs: DataFrame, fonts: DataFrame | None = None) -> DataFram
     return named.groupBy("doc_id", "page_no").applyInPandas(one, "doc_id long, page_no int, mmd string, confidence double, math_ratio double, has_text boolean")
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, page_no, item_no, str, transform, width, font of JSON lines {doc_id, page_no, items: [{str, transform, width, fontName}]}."""
+    schema = "doc_id long, page_no int, items array<struct<str:string,transform:array<double>,width:double,fontName:string>>"
+    items = spark.read.schema(schema).json(path).select("doc_id", "page_no", F.posexplode("items").alias("item_no", "i"))
+    return items.select("doc_id", "page_no", "item_no", "i.str", "i.transform", "i.width", F.col("i.fontName").alias("font"))
+
+
 def route(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pages whose text layer serves, pages that need recognition)."""
     fine = F.col("has_text") & (F.col("confidence") >= ROUTE_CONFIDENCE)

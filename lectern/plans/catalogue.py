@@ -531,6 +531,12 @@ def page_layout(spark, sf_dir):
     return layout.extract_pages(glyphs(spark, sf_dir))
 
 
+@query()
+def layout_documents(spark, sf_dir):
+    """The pages of a document laid out and joined."""
+    return files.join_pages(layout.extract_pages(glyphs(spark, sf_dir)))
+
+
 @query("SELECT p_partkey AS page_no, CASE WHEN p_size % 7 > 0 AND p_size / 50.0 >= 0.6 THEN 'text layer' ELSE 'recognition' END AS route FROM part")
 def page_route(spark, sf_dir):
     pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_no"), (F.col("p_size") % 7 > 0).alias("has_text"), (F.col("p_size") / 50.0).alias("confidence"))

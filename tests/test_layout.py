@@ -1,3 +1,4 @@
+import json
 import re
 
 import pytest
@@ -99,3 +100,11 @@ def test_pages_of_a_table(spark):
     pages = layout.extract_pages(glyphs, fonts)
     served, rest = layout.route(pages)
     assert [(r.page_no, r.mmd) for r in served.collect()] == [(1, "A page of prose.")] and [r.page_no for r in rest.collect()] == [2]
+
+
+def test_pages_are_read_from_json(spark, tmp_path):
+    item = {"str": "A page of prose.", "transform": [10, 0, 0, 10, 40, 600], "width": 80, "fontName": "f"}
+    (tmp_path / "p.json").write_text("\n".join(json.dumps({"doc_id": 1, "page_no": n, "items": [item] * n}) for n in (0, 1, 2)))
+    glyphs = layout.read_pages(spark, str(tmp_path))
+    assert glyphs.count() == 3
+    assert {(r.page_no, r.mmd) for r in layout.extract_pages(glyphs).collect()} == {(1, "A page of prose."), (2, "A page of prose.A page of prose.")}

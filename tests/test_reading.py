@@ -142,3 +142,87 @@ def test_lookups_of_a_reader(spark):
     spans = spark.createDataFrame([(1, 0, 5)], "doc_id long, segment_index int, start_ms long")
     starts = timing.segment_starts(spark.createDataFrame([(1, 0), (1, 8)], "doc_id long, segment_index int"), spans)
     assert {(r.segment_index, r.start_ms) for r in starts.collect()} == {(0, 5), (8, 0)}
+
+
+def test_a_single_note_goes_where_a_sort_key_says():
+    """With one note, the order is that of keys: behind its citation, else before the next heading, else last."""
+    draw = random.Random(9)
+    for _ in range(600):
+        n = draw.randrange(1, 9)
+        kinds = [draw.choice(("paragraph", "paragraph", "heading")) for _ in range(n)]
+        texts = [draw.choice(("Some text.", "It is so.2 Yes.", "See footnote 2 there", "A mark\u2020 here", "Plain 2 text")) for _ in range(n)]
+        at, marker = draw.randrange(n + 1), draw.choice(("2", "\u2020", "", "*"))
+        note = {"2": "Footnote 2: body", "\u2020": "\u2020 body", "": "Footnote: body", "*": "Footnote *: body"}[marker]
+        rows = [(t, t, k) for t, k in zip(texts, kinds, strict=True)]
+        cites = {"2": ("It is so.2 Yes.", "See footnote 2 there"), "\u2020": ("A mark\u2020 here",)}.get(marker, ())
+        cited = [i for i in range(at) if texts[i] in cites]
+        later = [i for i in range(at, n) if kinds[i] == "heading"]
+        key = cited[-1] + 0.5 if cited else later[0] - 0.5 if later else n
+        label = f" {marker}" if marker in ("2", "\u2020") else ""
+        want = sorted([(i, r) for i, r in enumerate(rows)] + [(key, (f"Footnote{label}: body End of footnote.", note, "footnote"))], key=lambda x: x[0])
+        assert markup.relocated([*rows[:at], (note, note, "paragraph"), *rows[at:]]) == [r for _, r in want]
+
+
+PAPER = """# On Small Things
+
+Ann Author, Some University
+
+ann@example.org
+
+## Abstract
+
+We show a small thing. Keywords: small, things
+
+Keywords: small, things
+
+_Running Head_
+
+## 1. Introduction
+
+Let $x^2 \\leq y$ hold, as in Fig. 1 [3, 4]. It was known.1 More follows.
+More follows.
+More follows.
+
+Footnote 1: by others.
+
+- first *point*
+- second
+
+| a | b |
+|---|---|
+| 1 | 2 |
+
+\\begin{table}
+dropped
+\\end{table}
+
+(
+
+The same long sentence is written here twice over again.
+
+The same long sentence is written here twice over again.
+
+## References
+
+[1] A. Author, 1999.
+
+## Appendix
+
+The end.
+"""
+
+
+def test_a_whole_paper(spark):
+    rows = markup.process_markup(spark.createDataFrame([(1, PAPER)], "doc_id long, mmd string")).orderBy("index").collect()
+    assert [(r["index"], r.segment_type, r.text) for r in rows] == list(
+        zip(
+            range(99),
+            ["heading", "heading", "paragraph", "heading", "paragraph", "footnote", "paragraph", "paragraph", "paragraph", "heading", "paragraph"],
+            [
+                "On Small Things", "Abstract", "We show a small thing.", "1. Introduction", "Let x squared less than or equal to y hold, as in Figure 1. It was known.1 More follows. More follows.",
+                "Footnote 1: by others. End of footnote.", "first point", "second", "The same long sentence is written here twice over again.", "Appendix", "The end.",
+            ],
+        )
+    )
+    desktop = [r.text for r in markup.process_markup(spark.createDataFrame([(1, PAPER)], "doc_id long, mmd string"), "desktop").orderBy("index").collect()]
+    assert "(" in desktop and sum("same long sentence" in t for t in desktop) == 2 and any("$x^2" in t for t in desktop)
