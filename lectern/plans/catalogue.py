@@ -623,8 +623,12 @@ q AS (SELECT *, CASE WHEN NOT fine THEN 'json' WHEN category NOT IN {WEB_CATEGOR
 d AS (SELECT *, CASE WHEN NOT fine THEN 'json' WHEN category NOT IN ('missed-latex', 'pronunciation', 'other') THEN 'category' WHEN comment = '' THEN 'comment' END AS reason_desktop FROM q)"""
 
 
+#: The instant whose clock in UTC the table's time is.
+RECEIVED = "from_utc_timestamp(CAST(ts AS TIMESTAMP), current_timezone()) AS received"
+
+
 def records(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS received", f"{RECORD} AS value")
+    return table(spark, sf_dir, "events").selectExpr("event_id", RECEIVED, f"{RECORD} AS value")
 
 
 @query(f"WITH {READ_SQL} SELECT event_id, reason, reason_desktop FROM d")
@@ -652,8 +656,7 @@ def feedback_accepted(spark, sf_dir):
 (j->'context'->>'time_ms')::BIGINT AS time_ms, (j->'context'->>'page')::BIGINT AS page FROM d WHERE reason_desktop IS NULL""")
 def feedback_accepted_desktop(spark, sf_dir):
     d = records(spark, sf_dir).withColumn("job_id", F.concat(F.lit("job"), (F.col("event_id") % 5).cast("string")))
-    stored = files.accepted(files.parse_feedback(d, "desktop"), "desktop")
-    return stored.withColumn("timestamp", F.regexp_replace("timestamp", "Z$", "+00:00"))
+    return files.accepted(files.parse_feedback(d, "desktop"), "desktop")
 
 
 @query(f"SELECT *, 2 * count(*) AS copies FROM ({STORED_SQL}) GROUP BY ALL")
@@ -720,7 +723,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(STORED_SQL)
 def feedback_stream(spark, sf_dir):
-    raw = _event_stream(spark, sf_dir).selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS received", f"{RECORD} AS value")
+    raw = _event_stream(spark, sf_dir).selectExpr("event_id", RECEIVED, f"{RECORD} AS value")
     return _flat(_drained(live.feedback(raw), spark))
 
 

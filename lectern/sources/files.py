@@ -135,11 +135,11 @@ def accepted(parsed: DataFrame, dialect: str = "web") -> DataFrame:
     parsed may have the columns received (timestamp), job_id (desktop) and ip_country (web).
     """
     r, have = "record.", parsed.columns
-    received = F.col("received") if "received" in have else F.current_timestamp()
+    received = F.to_utc_timestamp(F.col("received") if "received" in have else F.current_timestamp(), F.current_timezone())
     comment = F.substring(trimmed(F.coalesce(F.col(r + "comment"), F.lit(""))), 1, LIMITS["comment"]).alias("comment")
     common = [F.col(r + "category").alias("category"), comment]
     if dialect == "desktop":
-        stamp = F.date_format(received, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+        stamp = F.date_format(received, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
         return parsed.filter("reason IS NULL").select(
             stamp.alias("timestamp"), (F.col("job_id") if "job_id" in have else F.lit(None).cast("string")).alias("job_id"), *common,
             *[limited(F.col(f"{r}context.{c}"), LIMITS[c]).alias(c) for c in ("word", "segment_text")], F.col(r + "context.time_ms").alias("time_ms"), F.col(r + "context.page").alias("page"),
