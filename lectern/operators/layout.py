@@ -1,6 +1,6 @@
 """Page layout: positioned glyph runs to text, page by page.
 
-A page is small, so one grouped function holds it whole; pages spread over the cluster.
+A page is small, so one row holds it whole; pages spread over the cluster.
 Geometry follows the usual text-space convention: y grows upwards. The steps: runs are
 grouped into lines; small runs go to the line that they hang on; each line becomes text
 with its notation between \\( and \\); lines become paragraphs and headings; what can't be
@@ -15,10 +15,12 @@ from collections import defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.batches import map_rows
+
 # Thresholds of the layout, as multiples of the body size unless named otherwise.
 LINE_TOLERANCE, LEAST_TOLERANCE = 0.52, 2.5
 FULL_SIZE, SCRIPT_SIZE, SCRIPT_BELOW, SCRIPT_ABOVE = 0.9, 0.78, -0.6, 1.05
@@ -160,6 +162,8 @@ def upright(items: Iterable[dict]) -> list[Run]:
     """Runs with text that aren't turned, of items (str, transform, width, font)."""
     out = []
     for i in items:
+        if not i["transform"] or len(i["transform"]) != 6 or None in i["transform"]:
+            continue  # without a place
         a, b, c, d, x, y = i["transform"]
         if i["str"] and i["str"].strip() and a > 0 and abs(b) < 0.05 * abs(a) + 0.01:
             out.append(Run(i["str"], x, y, math.hypot(c, d), i["width"] or 0.0, i.get("font") or ""))
@@ -453,13 +457,15 @@ def extract_pages(glyphs: DataFrame, fonts: DataFrame | None = None) -> DataFram
     """doc_id, page_no, mmd, confidence, math_ratio, has_text of glyphs(doc_id, page_no, item_no, str, transform, width, font)."""
     named = glyphs.join(fonts, "font", "left") if fonts is not None else glyphs.withColumn("ps_name", F.col("font"))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item_no")
-        items = [{"str": s, "transform": list(t), "width": w, "font": f} for s, t, w, f in zip(pdf["str"], pdf["transform"], pdf["width"], pdf["font"], strict=True)]
-        names = {f: n for f, n in zip(pdf["font"], pdf["ps_name"], strict=True) if n is not None}
-        return pd.DataFrame([{"doc_id": key[0], "page_no": key[1]} | extract_page(items, names, int(key[1]))])
+    def one(doc_id, page_no, items):
+        names = {i["font"]: i["ps_name"] for i in items if i["ps_name"] is not None}
+        page = extract_page(items, names, page_no)
+        return [(doc_id, page_no, page["mmd"], page["confidence"], page["math_ratio"], page["has_text"])]
 
-    return named.groupBy("doc_id", "page_no").applyInPandas(one, "doc_id long, page_no int, mmd string, confidence double, math_ratio double, has_text boolean")
+    item = F.struct("item_no", "str", F.col("transform").cast("array<double>").alias("transform"), F.col("width").cast("double").alias("width"), F.col("font").cast("string").alias("font"), F.col("ps_name").cast("string").alias("ps_name"))
+    pages = named.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_no").cast("int").alias("page_no")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    fields = [("doc_id", pa.int64(), "long"), ("page_no", pa.int32(), "int"), ("mmd", pa.string(), "string"), ("confidence", pa.float64(), "double"), ("math_ratio", pa.float64(), "double"), ("has_text", pa.bool_(), "boolean")]
+    return map_rows(pages, one, fields)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

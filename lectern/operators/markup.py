@@ -7,11 +7,13 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.batches import map_rows
 from lectern.functions.markdown import to_html
-from lectern.functions.rewrite import SPACE, collapse, compiled, prose_text, speak_math, speak_spans
+from lectern.functions.rewrite import collapse, compiled, prose_text, speak_math, speak_spans
 from lectern.operators import ordered
 
 BLOCKS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "section"}
@@ -134,13 +136,11 @@ def spoken_html(mmd: str, dialect: str = "web") -> str:
 def explode_segments(docs: DataFrame, html: str = "html", markdown: bool = False, dialect: str = "web") -> DataFrame:
     """doc_id, index, text, source_text, segment_type of docs(doc_id, html): one pass in Python for each document."""
 
-    def parse(batches):
-        for pdf in batches:
-            texts = (h or "" for h in pdf.iloc[:, 1])
-            rows = [(d, *s) for d, t in zip(pdf.iloc[:, 0], texts, strict=True) for s in segments_of(spoken_html(t, dialect) if markdown else t, dialect)]
-            yield pd.DataFrame(rows, columns=["doc_id", "index", "text", "source_text", "segment_type"])
+    def parse(doc_id, text):
+        text = text or ""
+        return [(doc_id, *s) for s in segments_of(spoken_html(text, dialect) if markdown else text, dialect)]
 
-    return docs.select(F.col("doc_id").cast("long"), html).mapInPandas(parse, f"doc_id long, index int, {SEGMENT}")
+    return map_rows(docs.select(F.col("doc_id").cast("long"), html), parse, [("doc_id", pa.int64(), "long"), ("index", pa.int32(), "int"), *((c, pa.string(), "string") for c in ("text", "source_text", "segment_type"))])
 
 
 def clean_segments(segments: DataFrame, dialect: str = "web") -> DataFrame:
@@ -163,13 +163,12 @@ def process_markup(docs: DataFrame, dialect: str = "web") -> DataFrame:
 def stages(docs: DataFrame) -> DataFrame:
     """doc_id and what each step makes of docs(doc_id, mmd): preprocessed, spoken, rendered, segments (JSON), final."""
 
-    def early(batches):
-        for pdf in batches:
-            spoken = [speak_spans(x or "") for x in pdf["preprocessed"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "preprocessed": pdf["preprocessed"], "spoken": spoken, "rendered": [to_html(x) for x in spoken]})
+    def early(doc_id, text):
+        spoken = speak_spans(text)
+        return [(doc_id, text, spoken, to_html(spoken))]
 
     first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), preprocessed(F.coalesce("mmd", F.lit(""))).alias("preprocessed"))
-    first = first.mapInPandas(early, "doc_id long, preprocessed string, spoken string, rendered string")
+    first = map_rows(first, early, [("doc_id", pa.int64(), "long"), *((c, pa.string(), "string") for c in ("preprocessed", "spoken", "rendered"))])
     rows = F.array_sort(F.collect_list(F.struct("index", "text", "source_text", "segment_type")))
     last = process_markup(docs).groupBy("doc_id").agg(rows.alias("s"))
     last = last.select("doc_id", F.to_json(F.transform("s", lambda x: F.struct(x["text"].alias("text"), x["source_text"].alias("source_text"), x["segment_type"].alias("segment_type"), x["index"].alias("index")))).alias("segments"), F.array_join(F.transform("s", lambda x: x["text"]), "\n\n").alias("final"))

@@ -10,9 +10,11 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.batches import map_rows
 from lectern.functions.rewrite import compiled
 
 TICKS = 10_000  # 100 ns in a millisecond
@@ -202,12 +204,11 @@ def speech_chunks(text: str, most: int = 220) -> list[tuple[str, int]]:
 def explode_chunks(segments: DataFrame, most: int = 220) -> DataFrame:
     """doc_id, index, chunk_no, chunk, start."""
 
-    def cut(batches):
-        for pdf in batches:
-            rows = [(d, i, k, c, s) for d, i, t in zip(pdf["doc_id"], pdf["index"], pdf["text"], strict=True) for k, (c, s) in enumerate(speech_chunks(t or "", most))]
-            yield pd.DataFrame(rows, columns=["doc_id", "index", "chunk_no", "chunk", "start"])
+    def cut(doc_id, index, text):
+        return [(doc_id, index, n, chunk, start) for n, (chunk, start) in enumerate(speech_chunks(text or "", most))]
 
-    return segments.select("doc_id", "index", "text").mapInPandas(cut, "doc_id long, index int, chunk_no int, chunk string, start int")
+    rows = segments.select(F.col("doc_id").cast("long"), F.col("index").cast("int"), "text")
+    return map_rows(rows, cut, [("doc_id", pa.int64(), "long"), ("index", pa.int32(), "int"), ("chunk_no", pa.int32(), "int"), ("chunk", pa.string(), "string"), ("start", pa.int32(), "int")])
 
 
 def word_at_char(lookups: DataFrame, words: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def test_blocks_of_html():
 def test_plans_read_once(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, mmd string")
     plan = markup.process_markup(docs)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInPandas") == 1 and plan.count("Exchange ") <= 2
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange ") <= 2
 
 
 def test_no_digit_of_a_tick_is_lost(spark):
