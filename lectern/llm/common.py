@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lectern.functions.batches import pieces
 from lectern.sources.folders import shared_folder
 
 
@@ -55,17 +56,6 @@ class Scratch:
         self.held = []
 
 
-#: Bytes of a record batch that a function gets at once, unless a single row has more.
-PIECE_BYTES = 4 << 20
-
-
-def pieces(batch: pa.RecordBatch):
-    """batch in runs of rows of about PIECE_BYTES: Spark bounds batches by rows, whatever these hold."""
-    rows = max(1, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes))
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
-
-
 def release() -> None:
     """Gives memory that a finished task has freed back to the system: the worker lives on for other stages."""
     pa.default_memory_pool().release_unused()

@@ -365,21 +365,28 @@ def link_components(docs: DataFrame, found: DataFrame, similarity: int = SIMILAR
     return labels
 
 
-def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
-    found = materialise(sketch(docs, similarity), "sketch")
-    labels = link_components(docs, found, similarity)
+def _report(docs: DataFrame, similarity: int, keep: Scratch) -> DataFrame:
+    """near_duplicates(), reading tables that keep holds."""
+    found = keep(sketch(docs, similarity), "sketch")
+    labels = keep.own(link_components(docs, found, similarity))
     rows = found.select("doc_id", "n", "h1", "h2")
     classes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     classes = classes.join(labels.select(F.col("doc_id").alias("least"), "component"), "least", "left")
     # a class of one without a link needs no row: its component is itself
-    classes = materialise(classes.filter("rows > 1 OR component IS NOT NULL").select("n", "h1", "h2", F.coalesce("component", "least").alias("component")), "classes")
+    classes = keep(classes.filter("rows > 1 OR component IS NOT NULL").select("n", "h1", "h2", F.coalesce("component", "least").alias("component")), "classes")
     classes = F.broadcast(classes) if classes.count() <= BROADCAST_CLASSES else classes
     out = rows.join(classes, ["n", "h1", "h2"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+    return _report(docs, similarity, Scratch())
+
+
 def keep_one(docs: DataFrame, similarity: int = STAGE_SIMILARITY) -> DataFrame:
     """docs without the rows that are not the least id of their component; columns unchanged."""
-    gone = materialise(near_duplicates(docs, similarity).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    keep = Scratch()
+    gone = materialise(_report(docs, similarity, keep).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    keep.clear()
     return restrict(docs, gone, "left_anti")

@@ -30,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import pieces, release
+from lectern.functions.batches import pieces
+from lectern.llm.common import release
 from lectern.llm.token_ids import ids_bytes
 
 WINDOW, END_ID = 2048, 1

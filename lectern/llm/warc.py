@@ -32,7 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import PIECE_BYTES, materialise, pieces
+from lectern.functions.batches import PIECE_BYTES, pieces
+from lectern.llm.common import materialise
 from lectern.sources.folders import shared_folder
 
 #: Payload bytes from which on equal records are revisits; bytes of an archive before compression, unless one record has more.
