@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import mixing, near_dedup, packing, secret_scan, toxicity
-from lectern.llm.common import materialise, table
+from lectern.llm.common import discard, materialise, table
 from lectern.llm.queries import TOXIC_FROM
 
 
@@ -54,5 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        after = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(docs)  # what a stage has read is not needed any more
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
