@@ -164,13 +164,15 @@ def translated(pattern: str, dialect: str, end: str) -> str:
             out.append(_WEB[pair[1]] if inside else f"[{_WEB[pair[1]]}]")
         elif c == "\\" and dialect == "web" and pair[1] == "b" and not inside:
             out.append(_EDGE)
-        elif c == "\\" and dialect == "web" and pair[1] == "S" and inside:
-            out.append("^" + SPACE)
         elif c == "\\":
             out.append(pair)
         else:
             inside = (inside or c == "[") and c != "]"
-            out.append(end if c == "$" and not inside and i == len(pattern) - 1 else c)
+            if c == "$" and not inside and i == len(pattern) - 1:
+                c = end
+            elif c == "." and not inside and dialect == "web":
+                c = "[^\\n\\r\u2028\u2029]"
+            out.append(c)
             i += 1
             continue
         i += 2
@@ -180,12 +182,12 @@ def translated(pattern: str, dialect: str, end: str) -> str:
 @lru_cache(maxsize=1024)
 def compiled(pattern: str, dialect: str = "web") -> re.Pattern:
     """For Python."""
-    pattern = pattern.replace(r"[\s\S]", "(?s:.)")
+    pattern = pattern.replace(r"[\s\S]", "[\x00-\U0010ffff]")
     return re.compile(translated(pattern, dialect, r"\Z"))
 
 
 def java(pattern: str, dialect: str = "web") -> str:
-    """For the JVM. A dot ends at line feeds as in Python, and at other line ends in neither."""
+    """For the JVM."""
     return ("(?d)" if dialect == "web" else "(?dU)") + translated(pattern, dialect, r"\z")
 
 

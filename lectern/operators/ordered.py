@@ -30,7 +30,7 @@ def collapsed(c: Column) -> Column:
 
 def isolate_display(c: Column) -> Column:
     """Blank lines around each one-line display formula."""
-    return F.regexp_replace(c, r"(\\\[.*?\\\])", "\n\n$1\n\n")
+    return F.regexp_replace(c, java(r"(\\\[.*?\\\])"), "\n\n$1\n\n")
 
 
 def drop_tables(c: Column) -> Column:
