@@ -62,6 +62,16 @@ def write_texts(texts: DataFrame, path: str, by: str = "name") -> None:
     texts.select(base_name(F.col(by)).alias(by), "text").write.mode("overwrite").partitionBy(by).option("lineSep", "\n").text(path)
 
 
+#: What each step of the markup pipeline makes of a document, in order, and the ending of its files.
+STAGE_FILES = {"preprocessed": "mmd", "spoken": "md", "rendered": "html", "segments": "json", "final": "txt"}
+
+
+def write_stages(stages: DataFrame, path: str) -> None:
+    """stages(doc_id, preprocessed, spoken, rendered, segments, final) below path: a folder for each step, ``1-preprocessed`` to ``5-final``."""
+    for n, (name, ending) in enumerate(STAGE_FILES.items(), 1):
+        write_texts(stages.select(F.concat(F.col("doc_id").cast("string"), F.lit(f".{ending}")).alias("name"), F.col(name).alias("text")), f"{path}/{n}-{name}")
+
+
 def convertible(jobs: DataFrame) -> DataFrame:
     """jobs(input, output) with the reason why one can't be converted, else null: a PDF goes to a .tex file."""
     reason = F.when(~F.lower("input").endswith(".pdf"), "input").when(~F.lower("output").endswith(".tex"), "output")

@@ -126,6 +126,11 @@ def test_stages(spark):
     docs = spark.createDataFrame([(1, "# T\n\na $x^2$ b\nb\nb"), (2, None)], "doc_id long, mmd string")
     out = {r.doc_id: r for r in markup.stages(docs).collect()}
     assert out[1].preprocessed == "# T\n\na $x^2$ b\nb" and out[1].spoken == "# T\n\na  x squared  b\nb" and out[1].rendered == "<h1>T</h1>\n<p>a  x squared  b\nb</p>" and out[1].final == "T\n\na x squared b b"
+    folder = shared_folder(spark, "stages")
+    files.write_stages(markup.stages(docs), folder)
+    for n, name in enumerate(("preprocessed", "spoken", "rendered", "segments", "final"), 1):
+        found = {r.path.split("name=")[1].split("/")[0]: r.mmd for r in files.read_markup(spark, f"{folder}/{n}-{name}/*").collect()}
+        assert found == {"1": out[1][name] + "\n", "2": out[2][name] + "\n"}
     assert [s["segment_type"] for s in json.loads(out[1].segments)] == ["heading", "paragraph"] and json.loads(out[2].segments) == []
 
 
