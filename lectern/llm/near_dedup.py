@@ -337,10 +337,11 @@ def _overlapping(apart: DataFrame, similarity: int, keep: Scratch) -> DataFrame:
     most = far(F.col("n") + F.floor(100 * F.col("n") / similarity))
     shared = keep(shared.filter(2 * F.col("place") <= F.col("d") - F.greatest(F.lit(0), F.col("d") - most) + most), "shared")
     p, q = (shared.select("grp", "x", *[F.col(c).alias(s + c) for c in ("doc_id", "place", "v", "n", "d", "linked", "component")]) for s in "pq")
+    p = p.filter("NOT plinked")  # as a rule few: most documents of a large group are linked to its pivot
     need = F.ceil((F.col("pd") + F.col("qd") - far(F.col("pn") + F.col("qn"))) / 2)
-    fine = (F.col("pdoc_id") < F.col("qdoc_id")) & (F.col("pcomponent") != F.col("qcomponent")) & ~(F.col("plinked") & F.col("qlinked"))
+    fine = (F.col("qlinked") | (F.col("pdoc_id") < F.col("qdoc_id"))) & (F.col("pcomponent") != F.col("qcomponent"))
     fine &= (need > 0) & (need <= F.least("pv", "qv")) & (F.col("pplace") <= F.col("pd") - need) & (F.col("qplace") <= F.col("qd") - need)
-    return keep(p.join(q, ["grp", "x"]).filter(fine).select(F.col("pdoc_id").alias("a"), F.col("qdoc_id").alias("b")).distinct(), "pairs")
+    return keep(p.join(q, ["grp", "x"]).filter(fine).select(F.least("pdoc_id", "qdoc_id").alias("a"), F.greatest("pdoc_id", "qdoc_id").alias("b")).distinct(), "pairs")
 
 
 def link_components(docs: DataFrame, found: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
