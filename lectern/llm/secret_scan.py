@@ -115,11 +115,15 @@ def _names(batch) -> dict:
     return {"token": out, "random": [ORDINARY] * len(out)}
 
 
-def transition_counts(tokens: list[str]) -> np.ndarray:
-    code = _codes("".join(tokens))
-    before = np.concatenate(([N - 1], code[:-1]))
-    before[np.cumsum([0, *map(len, tokens[:-1])])] = N - 1
-    return np.bincount(before * N + code, minlength=N * N).reshape(N, N)
+def transition_counts(tokens: list[str], at_once: int = 10_000) -> np.ndarray:
+    counts = np.zeros(N * N, dtype=np.int64)
+    for i in range(0, len(tokens), at_once):
+        part = tokens[i : i + at_once]
+        code = _codes("".join(part))
+        before = np.concatenate(([N - 1], code[:-1]))
+        before[np.cumsum([0, *map(len, part[:-1])])] = N - 1
+        counts += np.bincount(before * N + code, minlength=N * N)
+    return counts.reshape(N, N)
 
 
 def _sparse(counts: dict[int, np.ndarray]) -> dict:
@@ -134,8 +138,11 @@ def _count(batch) -> dict:
 
 
 def _count_names(batch) -> dict:
-    tokens = [name for text in batch.column(0).to_pylist() for name in corpus_names(text)]
-    return _sparse({ORDINARY: transition_counts(tokens)} if tokens else {})
+    counts = np.zeros((N, N), dtype=np.int64)
+    for text in batch.column(0).to_pylist():
+        if names := corpus_names(text):
+            counts += transition_counts(names)
+    return _sparse({ORDINARY: counts})
 
 
 COUNTED = "random int, a int, b int, n long"
