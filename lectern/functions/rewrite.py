@@ -25,7 +25,10 @@ from pyspark.sql import types as T
 #: What the web dialect takes for white space, as the inside of a character class.
 SPACE = "\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
-# The prose rules, as (trigger characters, pattern, replacement) in order.
+#: Trigger of rules for the end of a text: it ends in a digit.
+DIGIT_LAST = "0-9$"
+
+# The prose rules, as (what a text must hold for them, pattern, replacement) in order.
 PROSE = [
     (".", r"i\.e\.", "that is"),
     (".", r"e\.g\.", "for example"),
@@ -47,7 +50,7 @@ PROSE = [
     (".", r"w\.r\.t", "with respect to"),
     (".", r"w\.l\.o\.g\.", "without loss of generality"),
     ("(", r"\((.*?)\)-th", "$1-th"),
-    (".", r"(\w+)\.(\d+)$", "$1"),
+    (DIGIT_LAST, r"(\w+)\.(\d+)$", "$1"),
     ("#", r"#+\s+(\d+(\.\d+)*)\s+", "<s>$1</s>"),
     (".", r" et al\.", " et al"),
     ("<", r'<break time="0\.5s"></break>', '<break time="0.5s"/>'),
@@ -56,8 +59,8 @@ PROSE = [
     ("(", r"\s*\(\d+(?:(?:,\s+|\s*[-–]\s*)\d+)+(, pp\. [0-9,\-]+|, p\.\d+f?f?\.?)?\)", ""),
     ("[", r"\s*\[[^\]]*, \d{4}(?:, [^\]]*, \d{4})*\]", ""),
     ("(", r"\s*\([^)]*, \d{4}(?:[;,] [^)]*, \d{4}[a-zA-Z]*?)*\)", ""),
-    (".", r"\s*(\b\w+\s+et al\.) (\[\d{4}\]|\(\d{4}\))", "$1"),
-    (":", r"\s*https?://[\w/:%#$&?()~.=+\-]*[\w\d_\-]", ""),
+    ("et al.", r"\s*(\b\w+\s+et al\.) (\[\d{4}\]|\(\d{4}\))", "$1"),
+    ("http", r"\s*https?://[\w/:%#$&?()~.=+\-]*[\w\d_\-]", ""),
     ("(", r"\s*\(\s*\)", ""),
     ("[", r"\s*\[\s*\]", ""),
     ("\n", r"\n", ""),
@@ -151,7 +154,8 @@ def math_rules(dialect: str = "web") -> list[tuple[str, str]]:
 # ---- patterns of one notation for two engines ----
 
 _WEB = {"s": SPACE, "w": "A-Za-z0-9_", "d": "0-9"}
-_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: A word's edge, before and after it: \\b stands beside a word character in all patterns.
+_BEFORE, _AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
 def translated(pattern: str, dialect: str, end: str) -> str:
@@ -163,7 +167,7 @@ def translated(pattern: str, dialect: str, end: str) -> str:
         if c == "\\" and dialect == "web" and pair[1] in _WEB:
             out.append(_WEB[pair[1]] if inside else f"[{_WEB[pair[1]]}]")
         elif c == "\\" and dialect == "web" and pair[1] == "b" and not inside:
-            out.append(_EDGE)
+            out.append(_BEFORE if re.match(r"[A-Za-z(\[]|\\w", pattern[i + 2 :]) else _AFTER)
         elif c == "\\":
             out.append(pair)
         else:
@@ -272,29 +276,39 @@ def prose(c: Column, dialect: str = "web", extra: tuple = ()) -> Column:
     """The prose rules in order, after deleting asterisks. Runs of rules with one trigger share one test."""
     out = F.replace(c, F.lit("*"), F.lit(""))
     for trigger, group in groupby(prose_rules(dialect, extra), key=lambda r: r[0]):
-        chain = _chain([(java(p, dialect), r) for _, p, r in group])
+        chain = _chain([(p, r) for _, p, r in group], dialect)
         out = _guarded(out, trigger, chain) if trigger else chain(out)
     return out
 
 
-def _chain(rules: list[tuple[str, str]]):
-    return lambda c: reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), rules, c)
+def literal(pattern: str) -> str | None:
+    """The text that a pattern without any operator stands for."""
+    return re.sub(r"\\(.)", r"\1", pattern) if _LITERAL.match(pattern) else None
+
+
+def _chain(rules: list[tuple[str, str]], dialect: str):
+    def one(c: Column, rule: tuple[str, str]) -> Column:
+        plain = literal(rule[0])
+        return F.regexp_replace(c, java(rule[0], dialect), rule[1]) if plain is None else F.replace(c, F.lit(plain), F.lit(rule[1]))
+
+    return lambda c: reduce(one, rules, c)
 
 
 def _guarded(c: Column, trigger: str, chain) -> Column:
     """chain(c) where c holds the trigger. c is named three times, so it is bound first: nested groups would triple the plan each."""
-    return F.transform(F.array(c), lambda x: F.when(x.contains(trigger), chain(x)).otherwise(x))[0]
+    fires = (lambda x: x.rlike(r"(?U)\d\z")) if trigger == DIGIT_LAST else (lambda x: x.contains(trigger))
+    return F.transform(F.array(c), lambda x: F.when(fires(x), chain(x)).otherwise(x))[0]
 
 
 @lru_cache(maxsize=64)
 def _writer(dialect: str, extra: tuple) -> list:
-    return [(t, compiled(p, dialect).sub, re.sub(r"\$(\d)", r"\\\1", r)) for t, p, r in prose_rules(dialect, extra)]
+    return [(t, literal(p), compiled(p, dialect).sub, re.sub(r"\$(\d)", r"\\\1", r)) for t, p, r in prose_rules(dialect, extra)]
 
 
 def prose_text(text: str, dialect: str = "web", extra: tuple = ()) -> str:
     """prose() on a Python text."""
     text = text.replace("*", "")
-    for trigger, sub, replacement in _writer(dialect, tuple(extra)):
-        if trigger in text:
-            text = sub(replacement, text)
+    for trigger, plain, sub, replacement in _writer(dialect, tuple(extra)):
+        if text[-1:].isdigit() if trigger == DIGIT_LAST else trigger in text:
+            text = sub(replacement, text) if plain is None else text.replace(plain, replacement)
     return text
