@@ -153,6 +153,8 @@ def is_math(code: int) -> bool:
 
 def glyph_map(text: str) -> str:
     """Combining slashes joined to what they strike out; other slashes, proof boxes and bullets removed."""
+    if text.isascii():
+        return text
     for plain, struck in (("=", "≠"), ("∈", "∉")):
         text = re.sub(rf"{SLASH}\s*{plain}|{plain}\s*{SLASH}", struck, text)
     return re.sub(f"[{SLASH}{NOISE}]", "", text)
@@ -250,6 +252,8 @@ def _stacked(a: Run, b: Run, size: float) -> bool:
 def spelled(raw: str, font: str) -> tuple[str, bool, int, int, int]:
     """text, whether it is notation, and how many characters are, are there, and aren't known."""
     notation, variables = bool(MATH_FONT.search(font)), bool(VARIABLE_FONT.search(font))
+    if raw.isascii() and not variables:
+        return raw, notation, len(raw) * notation, len(raw), 0
     out, counted, unknown, found = [], 0, 0, notation
     for c in raw:
         command, plain = SYMBOLS.get(c) or GREEK.get(c), folded(ord(c))
