@@ -112,6 +112,27 @@ def spoken_words(segments: DataFrame) -> DataFrame:
     return d.select("doc_id", (F.row_number().over(order) - 1).alias("pos"), F.col("index").alias("segment_index"), "word")
 
 
+def word_boxes(runs: DataFrame, pages: DataFrame, fractions: bool = True) -> DataFrame:
+    """doc_id, pos, page, x, y, w, h, str: a box for each word of runs(doc_id, page, item_no, str, x, y, width, size), from the page's top left.
+
+    x, y are a run's start on its baseline, y upwards; pages: doc_id, page, page_width,
+    page_height. Boxes are fractions of the page, or in its units. Characters of a run count
+    as equally wide, as there is no font to measure them by; words without area go. Rows of
+    one document are numbered in one task.
+    """
+    parts = F.split("str", r"(?<=\s)(?=\S)|(?<=\S)(?=\s)")
+    d = runs.join(pages, ["doc_id", "page"]).select("*", F.length("str").alias("_n"), parts.alias("_all"), F.posexplode(parts).alias("_i", "_word")).filter(F.col("_word").rlike(r"\S"))
+    start = F.aggregate(F.slice("_all", 1, F.col("_i")), F.lit(0), lambda s, x: s + F.length(x))
+    each = F.col("width") / F.col("_n")
+    wide, high = (F.col("page_width"), F.col("page_height")) if fractions else (F.lit(1.0), F.lit(1.0))
+    d = d.select(
+        "doc_id", "page", "item_no", "_i", ((F.col("x") + start * each) / wide).alias("x"), ((F.col("page_height") - F.col("y") - F.col("size")) / high).alias("y"),
+        (F.length("_word") * each / wide).alias("w"), (F.col("size") / high).alias("h"), F.col("_word").alias("str"),
+    )
+    order = Window.partitionBy("doc_id").orderBy("page", "item_no", "_i")
+    return real_boxes(d).withColumn("pos", F.row_number().over(order) - 1).select("doc_id", "pos", "page", "x", "y", "w", "h", "str")
+
+
 def real_boxes(boxes: DataFrame) -> DataFrame:
     return boxes.filter("w > 0 AND h > 0")
 

@@ -358,6 +358,19 @@ def scroll_page(spark, sf_dir):
     return timing.page_at(m, p)
 
 
+@query("""WITH r AS (SELECT p_partkey % 40 AS doc_id, p_partkey % 3 AS page, p_partkey AS item_no, string_split(p_name, ' ') AS l, length(p_name) AS n, 10.0 + p_size AS x, 700.0 - p_partkey % 600 AS y, 6.0 * length(p_name) AS width, (p_size % 5)::DOUBLE AS size FROM part),
+u AS (SELECT *, unnest(range(len(l))) AS i, unnest(l) AS word FROM r), o AS (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY item_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page, item_no, i) - 1)::INTEGER AS pos, page, round((x + start * 6.0) / 600, 9)::DOUBLE AS x, round((800 - y - size) / 800, 9)::DOUBLE AS y, round(length(word) * 6.0 / 600, 9)::DOUBLE AS w, round(size / 800, 9)::DOUBLE AS h, word AS str FROM o WHERE size > 0""")
+def word_boxes(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    runs = table(spark, sf_dir, "part").select(
+        (k % 40).alias("doc_id"), (k % 3).alias("page"), k.alias("item_no"), F.col("p_name").alias("str"), (10.0 + size).alias("x"), (700.0 - k % 600).alias("y"), (6.0 * F.length("p_name")).alias("width"), (size % 5).cast("double").alias("size")
+    )
+    pages = runs.select("doc_id", "page").distinct().select("*", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))
+    d = timing.word_boxes(runs, pages)
+    return d.select("doc_id", "pos", "page", *[F.round(c, 9).alias(c) for c in "xywh"], "str")
+
+
 @query("""WITH b AS (SELECT p_partkey AS pos, p_partkey % 100 / 100.0 AS x, p_partkey % 37 / 37.0 AS y, p_size / 500.0 AS w, (p_partkey % 3) / 100.0 AS h FROM part)
 SELECT pos, round(x * 600 - 2, 6)::DOUBLE AS left, round(y * 800 - 2, 6)::DOUBLE AS top, round(w * 600 + 4, 6)::DOUBLE AS width, round(h * 800 + 4, 6)::DOUBLE AS height,
 CASE WHEN y * 800 - 2 < 200 + 0.15 * 300 OR y * 800 - 2 > 200 + 0.7 * 300 THEN round(y * 800 - 2 - 0.35 * 300, 6)::DOUBLE END AS scroll FROM b WHERE h > 0""")

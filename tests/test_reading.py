@@ -226,3 +226,12 @@ def test_a_whole_paper(spark):
     )
     desktop = [r.text for r in markup.process_markup(spark.createDataFrame([(1, PAPER)], "doc_id long, mmd string"), "desktop").orderBy("index").collect()]
     assert "(" in desktop and sum("same long sentence" in t for t in desktop) == 2 and any("$x^2" in t for t in desktop)
+
+
+def test_boxes_of_words(spark):
+    runs = spark.createDataFrame([(1, 2, 0, "  ab c ", 10.0, 90.0, 70.0, 10.0), (1, 1, 0, "xyz", 0.0, 50.0, 30.0, 5.0), (1, 2, 1, " ", 0.0, 0.0, 9.0, 9.0), (1, 2, 2, "flat", 0.0, 0.0, 9.0, 0.0)], "doc_id long, page int, item_no int, str string, x double, y double, width double, size double")
+    pages = spark.createDataFrame([(1, 1, 100.0, 200.0), (1, 2, 100.0, 200.0)], "doc_id long, page int, page_width double, page_height double")
+    units = [tuple(r)[1:] for r in timing.word_boxes(runs, pages, fractions=False).orderBy("pos").collect()]
+    assert units == [(0, 1, 0.0, 145.0, 30.0, 5.0, "xyz"), (1, 2, 30.0, 100.0, 20.0, 10.0, "ab"), (2, 2, 60.0, 100.0, 10.0, 10.0, "c")]
+    shares = [tuple(r)[3:7] for r in timing.word_boxes(runs, pages).orderBy("pos").collect()]
+    assert shares == [(0.0, 0.725, 0.3, 0.025), (0.3, 0.5, 0.2, 0.05), (0.6, 0.5, 0.1, 0.05)]
