@@ -248,9 +248,10 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _rows(batch) -> dict:
-    """grp, found(binary) to one row for each element."""
-    found = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-    return {"grp": np.repeat(np.asarray(batch.column(0)), [len(x) for x in found]), "x": np.concatenate(found)}
+    """grp, m, found(binary) to one row for each element."""
+    found = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+    size = [len(x) for x in found]
+    return {"grp": np.repeat(np.asarray(batch.column(0)), size), "m": np.repeat(np.asarray(batch.column(1)), size), "x": np.concatenate(found)}
 
 
 def _centrality(batch) -> dict:
@@ -297,13 +298,13 @@ def _pivoted(open_: DataFrame, docs: DataFrame, similarity: int, keep: Scratch)
     """
     hubs = open_.groupBy("key").agg(F.min("doc_id").alias("a"))
     groups = keep.own(components(open_.join(hubs, "key").select("a", F.col("doc_id").alias("b")).distinct(), "groups"))
-    ids = keep(open_.select("doc_id", "component").distinct(), "ids")
-    sets = map_batches(restrict(docs, ids.select("doc_id")).dropDuplicates(["doc_id"]), _sets, "doc_id long, found binary")
-    sets = sets.join(ids, "doc_id").join(groups.withColumnRenamed("component", "grp"), "doc_id")
-    sets = keep(sets.select("doc_id", "grp", (F.octet_length("found") / 8).cast("long").alias("n"), "component", "found"), "sets")
-    counts = map_batches(sets.select("grp", "found"), _rows, "grp long, x long").groupBy("grp", "x").agg(F.count("*").alias("c"))
-    sizes = sets.groupBy("grp").agg(F.count("*").alias("m"))
-    core = counts.filter("c > 1").join(sizes, "grp").filter("2 * c > m").groupBy("grp").agg(F.collect_list("x").alias("core"))  # at most twice a set's mean size
+    # a group's size travels with its members, so that their shingles need not meet by group to be counted
+    groups = groups.withColumnRenamed("component", "grp").join(groups.groupBy(F.col("component").alias("grp")).agg(F.count("*").alias("m")), "grp")
+    ids = keep(open_.select("doc_id", "component").distinct().join(groups, "doc_id"), "ids")
+    sets = map_batches(restrict(docs, ids.select("doc_id")).dropDuplicates(["doc_id"]), _sets, "doc_id long, found binary").join(ids, "doc_id")
+    sets = keep(sets.select("doc_id", "grp", "m", (F.octet_length("found") / 8).cast("long").alias("n"), "component", "found"), "sets")
+    counts = map_batches(sets.select("grp", "m", "found"), _rows, "grp long, m long, x long").groupBy("grp", "x").agg(F.count("*").alias("c"), F.max("m").alias("m"))
+    core = counts.filter("c > 1 AND 2 * c > m").groupBy("grp").agg(F.collect_list("x").alias("core"))  # at most twice a set's mean size
     scored = map_batches(sets.select("doc_id", "grp", "found").join(keep(core, "core"), "grp", "left"), _centrality, "doc_id long, grp long, score long")
     pivots = scored.groupBy("grp").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("id"))).alias("best")).select("grp", (-F.col("best.id")).alias("pivot"))
     pivots = keep(pivots.join(sets.select(F.col("doc_id").alias("pivot"), F.col("found").alias("core")), "pivot").select("grp", "pivot", "core"), "pivots")
